@@ -13,15 +13,16 @@ from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
+from contentflow.functions.binding import let
 from contentflow.functions.text import SPACE, squeeze, strip
 
 REPLACEMENT = chr(0xFFFD)
 MARK, OPEN, CLOSE = "\x01", "\x02", "\x03"
 
 INVISIBLE = (
-    r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"|<!--.*?(?:-->|\z)"
+    r"(?is)<(?:script\b[^>]*>.*?(?:</script\s*>|\z)"
+    r"|style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"|!--.*?(?:-->|\z))"
 )
 TAG = r"<[/!?]?[A-Za-z][^>]*>"
 # The elements whose text makes a paragraph of the body.
@@ -58,56 +59,70 @@ _BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reve
 _PIECE = r"(?s)&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]{1,31};?|[^&]+|&"
 
 
-def unescape_html(c: Column) -> Column:
-    """Decode all HTML5 character references, once."""
-    # A literal after constant folding.
-    tables = F.from_json(F.lit(_TABLES), "map<string,map<string,string>>")
-
-    def lookup(first: Column, name: Column) -> Column:
-        return F.try_element_at(F.try_element_at(tables, first), name)
-
-    def numeric(p: Column) -> Column:
-        digits = F.regexp_extract(p, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
-        text = F.when(digits == "", F.lit("0")).otherwise(digits)
-        base16 = F.lower(F.substring(p, 3, 1)) == "x"
-        code = F.when(F.length(text) > 8, F.lit(0x110000)).when(
-            base16, F.conv(text, 16, 10).cast("bigint")
-        ).otherwise(text.try_cast("bigint"))
+def _decode_number(p: Column, tables: Column) -> Column:
+    digits = F.regexp_extract(p, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    base16 = F.lower(F.substring(p, 3, 1)) == "x"
+
+    def code_of(text: Column) -> Column:
+        return (
+            F.when(text == "", F.lit(0).cast("bigint"))
+            .when(F.length(text) > 8, F.lit(0x110000).cast("bigint"))
+            .when(base16, F.conv(text, 16, 10).cast("bigint"))
+            .otherwise(text.try_cast("bigint"))
+        )
+
+    def character(code: Column) -> Column:
         low = F.pmod(code, F.lit(0x10000))
         nothing = (
             code.between(0x1, 0x8) | (code == 0xB) | code.between(0xE, 0x1F) | (code == 0x7F)
             | code.between(0xFDD0, 0xFDEF) | low.isin(0xFFFE, 0xFFFF)
         )
-        known = lookup(F.lit("#"), code.cast("string"))
-        return (
-            F.when(known.isNotNull(), known)
-            .when(code.isNull() | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit(REPLACEMENT))
+        return F.coalesce(
+            F.try_element_at(F.try_element_at(tables, F.lit("#")), code.cast("string")),
+            F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), REPLACEMENT)
             .when(nothing, F.lit(""))
-            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")),
         )
 
-    def named(p: Column) -> Column:
-        name = F.substr(p, F.lit(2))
-        first = F.substring(name, 1, 1)
-        bare = F.regexp_extract(name, f"^({_BARE})", 1)
-        return F.coalesce(
-            lookup(first, name),
+    return let(let(digits, code_of), character)
+
+
+def _decode_name(p: Column, tables: Column) -> Column:
+    """A known name, else the longest known bare name it starts with, else the text as it is."""
+    name = F.substr(p, F.lit(2))
+    bare = F.regexp_extract(name, f"^({_BARE})", 1)
+    return let(
+        F.try_element_at(tables, F.substring(name, 1, 1)),
+        lambda names: F.coalesce(
+            F.try_element_at(names, name),
             F.when(
                 bare != "",
-                F.concat(lookup(first, bare), F.substr(name, F.length(bare) + F.lit(1))),
+                F.concat(F.try_element_at(names, bare), F.substr(name, F.length(bare) + F.lit(1))),
             ),
             p,
-        )
+        ),
+    )
 
-    def piece(p: Column) -> Column:
-        return (
-            F.when(~p.startswith("&") | (p == "&"), p)
-            .when(p.startswith("&#"), numeric(p))
-            .otherwise(named(p))
-        )
 
-    pieces = F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
-    return F.when(c.contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
+def unescape_html(c: Column) -> Column:
+    """Decode all HTML5 character references, once."""
+
+    def decoded(x: Column) -> Column:
+        # Constant folding turns the tables into one literal.
+        tables = F.from_json(F.lit(_TABLES), "map<string,map<string,string>>")
+        pieces = F.regexp_extract_all(x, F.lit(_PIECE), F.lit(0))
+
+        def piece(p: Column, known: Column) -> Column:
+            return (
+                F.when(~p.startswith("&") | (p == "&"), p)
+                .when(p.startswith("&#"), _decode_number(p, known))
+                .otherwise(_decode_name(p, known))
+            )
+
+        text = let(tables, lambda known: F.array_join(F.transform(pieces, lambda p: piece(p, known)), ""))
+        return F.when(x.contains("&"), text).otherwise(x)
+
+    return let(c, decoded)
 
 
 def clean_url(c: Column) -> Column:
@@ -122,15 +137,24 @@ def mark_invisible(html: Column) -> Column:
     return F.regexp_replace(html, INVISIBLE, MARK)
 
 
-def _nodes(marked: Column, sep: str) -> Column:
-    """Text nodes trimmed, empty ones left out, joined."""
-    parts = F.transform(F.split(unescape_html(marked), MARK), strip)
+def mark_tags(html: Column) -> Column:
+    """Replace everything that is not text by a mark."""
+    return F.regexp_replace(mark_invisible(html), TAG, MARK)
+
+
+def join_nodes(text: Column, sep: str) -> Column:
+    """Text nodes between the marks trimmed, empty ones left out, joined."""
+    parts = F.transform(F.split(text, MARK), strip)
     return F.array_join(F.filter(parts, lambda x: x != ""), sep)
 
 
+def _nodes(marked: Column, sep: str) -> Column:
+    return join_nodes(unescape_html(marked), sep)
+
+
 def html_text(html: Column, sep: str = " ") -> Column:
     """Markup to text: every text node trimmed, joined by ``sep``."""
-    return _nodes(F.regexp_replace(mark_invisible(html), TAG, MARK), sep)
+    return _nodes(mark_tags(html), sep)
 
 
 def raw_text(html: Column) -> Column:
@@ -140,11 +164,17 @@ def raw_text(html: Column) -> Column:
     )
 
 
+def normalize_plain(c: Column) -> Column:
+    """Lower-case, drop everything but ASCII letters, digits and whitespace, collapse whitespace."""
+    return squeeze(F.regexp_replace(F.lower(c), f"[^a-z0-9{SPACE}]", ""))
+
+
 def normalize_text(c: Column) -> Column:
-    """Strip markup, lower-case, drop everything but ASCII letters, digits and whitespace,
-    collapse whitespace.  Patterns such as numbers are not restored afterwards: their
-    normalised form is already in the text (see ``special_tokens`` for collecting them)."""
-    return squeeze(F.regexp_replace(F.lower(raw_text(c)), f"[^a-z0-9{SPACE}]", ""))
+    """``normalize_plain`` after stripping markup.
+
+    Patterns such as numbers are not restored afterwards: their normalised form is already in the
+    text (see ``special_tokens`` for collecting them)."""
+    return normalize_plain(raw_text(c))
 
 
 # --- elements --------------------------------------------------------------------------------
@@ -176,7 +206,6 @@ def wrapper_inner(html: Column, opening: str, tag: str) -> Column:
     keeps those up to the balancing close.
     """
     rest = F.try_element_at(F.regexp_extract_all(html, F.lit(rf"(?is){opening}(.*)\z"), F.lit(1)), F.lit(1))
-    pieces = F.split(rest, rf"(?i)(?=</?{tag}[\s>/])")
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -191,23 +220,36 @@ def wrapper_inner(html: Column, opening: str, tag: str) -> Column:
             F.when(depth == 0, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"),
         )
 
-    kept = F.aggregate(pieces, start, step)["kept"]
-    nested = F.array_join(F.slice(pieces, F.lit(1), kept), "")
-    simple = F.regexp_extract(rest, rf"(?is)^(.*?)(?:</{tag}\s*>|\z)", 1)
-    # Most wrappers hold none of their own kind: no fold is needed then.
-    return F.when(simple.rlike(rf"(?i)<{tag}[\s>/]"), nested).otherwise(simple)
+    def balanced(pieces: Column) -> Column:
+        return F.array_join(F.slice(pieces, F.lit(1), F.aggregate(pieces, start, step)["kept"]), "")
+
+    def inner(x: Column) -> Column:
+        # Most wrappers hold none of their own kind: no fold is needed then.
+        simple = F.regexp_extract(x, rf"(?is)^(.*?)(?:</{tag}\s*>|\z)", 1)
+        nested = let(F.split(x, rf"(?i)(?=</?{tag}[\s>/])"), balanced)
+        return let(simple, lambda s: F.when(s.rlike(rf"(?i)<{tag}[\s>/]"), nested).otherwise(s))
+
+    return let(rest, inner)
 
 
 def has_attr(tag: Column, name: str) -> Column:
     return tag.rlike(rf"(?is)\s{name}\s*=")
 
 
-def attr(tag: Column, name: str) -> Column:
-    """Attribute value of an opening tag, entities decoded; '' when absent."""
+def raw_attr(tag: Column, name: str) -> Column:
+    """Attribute value of an opening tag as written; '' when absent."""
     value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    quoted = value.startswith('"') | value.startswith("'")
-    bare = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - F.lit(2))).otherwise(value)
-    return unescape_html(bare)
+
+    def unquoted(v: Column) -> Column:
+        is_quoted = v.startswith('"') | v.startswith("'")
+        return F.when(is_quoted, F.substr(v, F.lit(2), F.length(v) - F.lit(2))).otherwise(v)
+
+    return let(value, unquoted)
+
+
+def attr(tag: Column, name: str) -> Column:
+    """Attribute value with its entities decoded."""
+    return unescape_html(raw_attr(tag, name))
 
 
 def tags(html: Column, name: str) -> Column:

@@ -157,7 +157,7 @@ def nest_record(posts: DataFrame, results: DataFrame, key: str = "uuid") -> Data
         return F.coalesce(F.col(name), empty)
 
     def links(name: str) -> Column:
-        return F.transform(items(name), unescape_slashes)
+        return F.transform(items(name), lambda x: unescape_slashes(x))
 
     metadata = [text("uuid").alias("uuid"), unescape_slashes(text("urlId")).alias("urlId")]
     metadata += [text(n).alias(n) for n in ("date", "author", "title", "excerpt")]

@@ -26,23 +26,39 @@ def article_cards(pages: DataFrame, html: str = "html", keep: list[str] = ()) ->
     cards = pages.select(*keep, F.posexplode(cut).alias("card_idx", "_card"))
     c = F.col("_card")
 
-    def text_of(tag: str, css_class: str) -> Column:
+    def part(tag: str, css_class: str | None = None) -> Column:
         inner = markup.first_inner(c, markup.open_tag(tag, css_class=css_class), tag)
-        return F.coalesce(markup.html_text(inner, ""), F.lit(MISSING))
+        return F.regexp_replace(inner, markup.TAG, markup.MARK)
 
     links = F.filter(markup.tags(c, "a"), lambda t: markup.has_attr(t, "href"))
-    url = markup.attr(F.try_element_at(links, F.lit(1)), "href")
-    time = markup.raw_text(markup.first_inner(c, markup.open_tag("time"), "time"))
-    return cards.select(
+    raw = {
+        "urlId": markup.raw_attr(F.try_element_at(links, F.lit(1)), "href"),
+        "date": part("time"),
+        "author": part("span", "blog-author"),
+        "title": part("h1", "blog-title"),
+        "excerpt": part("div", "blog-excerpt-wrapper"),
+        "categories": part("a", "blog-categories"),
+    }
+    # All parts of a card are decoded in one pass, as a column of its own.
+    decoded = cards.select(
+        *keep, "card_idx", F.transform(F.array(*raw.values()), markup.unescape_html).alias("_parts")
+    )
+    at = {name: F.get("_parts", F.lit(i)) for i, name in enumerate(raw)}
+
+    def text_of(name: str) -> Column:
+        return F.coalesce(markup.join_nodes(at[name], ""), F.lit(MISSING)).alias(name)
+
+    time = F.replace(at["date"], F.lit(markup.MARK), F.lit(""))
+    return decoded.select(
         *keep,
         "card_idx",
-        url.alias("urlId"),
-        post_id(url).alias("uuid"),
+        at["urlId"].alias("urlId"),
+        post_id(at["urlId"]).alias("uuid"),
         parse_us_date(time).alias("date"),
-        text_of("span", "blog-author").alias("author"),
-        text_of("h1", "blog-title").alias("title"),
-        text_of("div", "blog-excerpt-wrapper").alias("excerpt"),
-        text_of("a", "blog-categories").alias("categories"),
+        text_of("author"),
+        text_of("title"),
+        text_of("excerpt"),
+        text_of("categories"),
     )
 
 

@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contentflow.sources.layout import spread_small
+
+# Tables whose jobs are bound by CPU, with their key.
+TEXT_TABLES = {"pages": "page_id", "documents": "doc_id"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,7 +22,8 @@ class Tables:
         self.spark, self._folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return spread_small(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def query(name: str, sql: str | None = None):
