@@ -137,9 +137,8 @@ def merge_chunk_results(parsed: DataFrame, key: str, idx: str = "chunk_idx") ->
     """
     lists = F.struct(idx, *RESULT_KEYS)
     grouped = parsed.groupBy(key).agg(F.array_sort(F.collect_list(lists)).alias("_chunks"))
-    return grouped.select(
-        key, *[F.flatten(F.transform("_chunks", lambda x, k=k: x[k])).alias(k) for k in RESULT_KEYS]
-    )
+    # A field of an array of structs is the array of that field.
+    return grouped.select(key, *[F.flatten(F.col("_chunks")[k]).alias(k) for k in RESULT_KEYS])
 
 
 def nest_record(posts: DataFrame, results: DataFrame, key: str = "uuid") -> DataFrame:

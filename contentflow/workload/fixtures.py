@@ -162,7 +162,11 @@ def responses(rows: DataFrame, keys: list[str], n: Column, text: Column) -> Data
     Every 9th answer is cut off, every 13th has one string in place of its first list.
     """
     words = F.split(text, " ")
-    dealt = {k: F.filter(words, lambda w, i, j=j: i % 20 == j) for j, k in enumerate(RESULT_KEYS)}
+
+    def deal(j: int) -> Column:
+        return F.filter(words, lambda w, i: i % 20 == j)
+
+    dealt = {k: deal(j) for j, k in enumerate(RESULT_KEYS)}
     lists = F.struct(*[c.alias(k) for k, c in dealt.items()], F.lit("x").alias("unknown_key"))
     first = RESULT_KEYS[0]
     single = F.struct(
