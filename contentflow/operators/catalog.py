@@ -7,9 +7,6 @@ answers for all papers or authors at once.
 
 from __future__ import annotations
 
-import operator
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from contentflow.functions.text import candidate_words
@@ -120,29 +117,27 @@ def author_papers(authorship: DataFrame, authors: DataFrame, author: str, paper:
 
     Over all authors the page is a rank filter that each task applies before the shuffle.
     """
-    mine = _one_or_all(authorship, author, author_id).join(authors.select(author), author, "left_semi")
-    mine = mine.select(author, paper, *fields)
+    known = authors.select(author)
+    mine = _one_or_all(authorship, author, author_id).select(author, paper, *fields)
     if author_id is not None:
-        return mine.orderBy(paper).offset(offset).limit(limit)
+        return mine.join(known, author, "left_semi").orderBy(paper).offset(offset).limit(limit)
+    # Ranked before the join: the join would bring all papers of an author into one task.
     nth = F.row_number().over(W.partitionBy(author).orderBy(paper))
-    return (
-        mine.withColumn("_n", nth).where(F.col("_n") <= offset + limit)
-        .where(F.col("_n") > offset).drop("_n")
-    )
+    page = mine.withColumn("_n", nth).where(F.col("_n") <= offset + limit).where(F.col("_n") > offset)
+    return page.drop("_n").join(known, author, "left_semi")
 
 
 # --- vectors ---------------------------------------------------------------------------------
 
-def dot(a: Column, b: Column, dim: int) -> Column:
-    """Inner product written out term by term, which stays in generated code; the higher-order
-    functions do not."""
-    terms = [F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double") for i in range(dim)]
-    return reduce(operator.add, terms)
+def dot(a: str, b: str, dim: int) -> Column:
+    """Inner product of two array columns written out term by term, which stays in generated code;
+    the higher-order functions do not."""
+    return F.expr(" + ".join(f"cast(get({a}, {i}) as double) * cast(get({b}, {i}) as double)" for i in range(dim)))
 
 
 def mean_vector(vector: str, dim: int) -> Column:
     """Component-wise mean as one aggregate row; partial sums are made before the shuffle."""
-    return F.array(*[F.avg(F.get(F.col(vector), F.lit(i)).cast("double")) for i in range(dim)])
+    return F.expr("array(" + ", ".join(f"avg(cast(get({vector}, {i}) as double))" for i in range(dim)) + ")")
 
 
 def paper_embedding(papers: DataFrame, key: str, model: str = "specter_v1", paper_id=None,
@@ -157,8 +152,8 @@ def paper_tldr(summaries: DataFrame, key: str, paper_id=None, column: str = "sum
 
 def _nearest(candidates: DataFrame, target: DataFrame, key: str, vector: str, dim: int, limit: int) -> DataFrame:
     """Top ``limit`` by cosine to the one target row; candidates are unit vectors."""
-    goal = target.select("_t", F.sqrt(dot(F.col("_t"), F.col("_t"), dim)).alias("_norm"))
-    score = F.round(dot(F.col(vector), F.col("_t"), dim) / F.col("_norm"), 4)
+    goal = target.select("_t", F.sqrt(F.aggregate("_t", F.lit(0.0), lambda a, x: a + x * x)).alias("_norm"))
+    score = F.round(dot(vector, "_t", dim) / F.col("_norm"), 4)
     scored = candidates.crossJoin(F.broadcast(goal)).select(key, score.alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(limit)
 
@@ -169,13 +164,13 @@ def recommend(vectors: DataFrame, key: str, seed, limit: int = 100, vector: str
     return _nearest(vectors.where(F.col(key) != F.lit(seed)), target, key, vector, dim, limit)
 
 
-def _difference(positive: DataFrame, negative: DataFrame | None, dim: int) -> DataFrame:
+def _difference(positive: DataFrame, negative: DataFrame | None) -> DataFrame:
     """Mean of the positives minus mean of the negatives: two one-row frames in, one row out."""
     if negative is None:
         return positive.select(F.col("_m").alias("_t"))
     both = positive.crossJoin(F.broadcast(negative.select(F.col("_m").alias("_n"))))
-    parts = [F.get("_m", F.lit(i)) - F.coalesce(F.get("_n", F.lit(i)), F.lit(0.0)) for i in range(dim)]
-    return both.select(F.array(*parts).alias("_t"))
+    minus = F.zip_with("_m", "_n", lambda p, n: p - F.coalesce(n, F.lit(0.0)))
+    return both.select(minus.alias("_t"))
 
 
 def recommend_from(vectors: DataFrame, key: str, positive: list, negative: list = (), limit: int = 100,
@@ -184,7 +179,7 @@ def recommend_from(vectors: DataFrame, key: str, positive: list, negative: list
     def mean(ids: list) -> DataFrame:
         return vectors.where(F.col(key).isin(list(ids))).agg(mean_vector(vector, dim).alias("_m"))
 
-    target = _difference(mean(positive), mean(negative) if negative else None, dim)
+    target = _difference(mean(positive), mean(negative) if negative else None)
     others = vectors.where(~F.col(key).isin([*positive, *negative]))
     return _nearest(others, target, key, vector, dim, limit)
 
@@ -198,7 +193,7 @@ def recommend_for_author(vectors: DataFrame, key: str, author: str, positive: li
         centroids = own.groupBy(author).agg(mean_vector(vector, dim).alias("_c"))
         return centroids.agg(mean_vector("_c", dim).alias("_m"))
 
-    target = _difference(mean(positive), mean(negative) if negative else None, dim)
+    target = _difference(mean(positive), mean(negative) if negative else None)
     others = vectors.where(~F.col(author).isin([*positive, *negative]))
     return _nearest(others, target, key, vector, dim, limit)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from contentflow.functions import markup, text
+from contentflow.functions.binding import let
 from contentflow.functions.records import map_string_leaves, map_strings
 
 
@@ -30,37 +31,86 @@ def encoding_audit(df: DataFrame, row_id: str, fields: list[str] | None = None)
     return df.select(row_id, F.explode(bad).alias("field"))
 
 
-def lemmatize(df: DataFrame, lexicon: DataFrame, key: str, column: str) -> DataFrame:
-    """Replace each word of whitespace-separated text by its lemma; unknown words stay.
+SEGMENT = 512  # words looked up against one map; map look-ups scan their keys
 
-    ``lexicon(word, lemma)`` has one row per word.  Each document sends its distinct words once, and
-    only those the lexicon changes come back, as one small map per document.
+
+def _segments(words: Column) -> Column:
+    """A word array cut into arrays of at most SEGMENT words."""
+    return let(
+        words,
+        lambda ws: F.transform(
+            F.sequence(F.lit(0), F.floor(F.greatest(F.size(ws) - 1, F.lit(0)) / SEGMENT).cast("int")),
+            lambda k: F.slice(ws, k * SEGMENT + 1, F.lit(SEGMENT)),
+        ),
+    )
+
+
+def lemmatize(df: DataFrame, lexicon: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Replace each word of whitespace-separated text columns by its lemma; unknown words stay.
+
+    ``lexicon(word, lemma)`` has one row per word.  Every row sends the distinct words of its
+    segments once, and only those the lexicon changes come back, as one small map per segment.
+    The text itself is not taken apart in the shuffle.
     """
-    words = df.select(key, F.explode(F.array_distinct(text.split_words(F.col(column)))).alias("word"))
+    types = dict(df.dtypes)
+
+    def words_of(c: str) -> Column:
+        if types[c].startswith("array"):
+            return F.flatten(F.transform(c, text.split_words))
+        return text.split_words(F.col(c))
+
+    def numbered(i: int, c: str) -> Column:
+        parts = F.coalesce(_segments(words_of(c)), F.array().cast("array<array<string>>"))
+        return F.transform(
+            parts, lambda ws, k: F.struct(F.lit(i).alias("c"), k.alias("k"), F.array_distinct(ws).alias("ws"))
+        )
+
+    parts = F.concat(*[numbered(i, c) for i, c in enumerate(columns)])
+    words = df.select(key, F.explode(parts).alias("_p")).select(
+        key, "_p.c", "_p.k", F.explode("_p.ws").alias("word")
+    )
     changes = (
         words.join(lexicon.where("word <> lemma"), "word")
+        .groupBy(key, "c", "k")
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("m"))
         .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_lemmas"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.struct("c", "k"), "m"))).alias("_maps"))
     )
-    swapped = F.array_join(
-        F.transform(
-            text.split_words(F.col(column)),
-            lambda w: F.coalesce(F.try_element_at("_lemmas", w), w),
-        ),
-        " ",
+
+    def swap(words: Column, lemmas: Column) -> Column:
+        return let(lemmas, lambda m: F.transform(words, lambda w: F.coalesce(F.try_element_at(m, w), w)))
+
+    def lemmas_of(i: int, k: Column) -> Column:
+        return F.try_element_at("_maps", F.struct(F.lit(i).alias("c"), k.alias("k")))
+
+    def lemmatized(i: int, c: str) -> Column:
+        if types[c].startswith("array"):
+            # Looked up in the map of the segment; an element may sit in any, so all are merged.
+            own = F.map_filter("_maps", lambda k, m: k["c"] == i)
+            entries = F.flatten(F.transform(F.map_values(own), F.map_entries))
+            merged = F.map_from_entries(F.array_distinct(entries))
+            return F.transform(c, lambda x: F.array_join(swap(text.split_words(x), merged), " "))
+        swapped = F.transform(_segments(words_of(c)), lambda ws, k: swap(ws, lemmas_of(i, k)))
+        return F.array_join(F.flatten(swapped), " ")
+
+    number = {c: i for i, c in enumerate(columns)}
+    joined = df.join(changes, key, "left")
+    return joined.select(
+        *[lemmatized(number[c], c).alias(c) if c in number else F.col(f"`{c}`") for c in df.columns]
     )
-    lemmas = F.when(F.col("_lemmas").isNull(), F.array_join(text.split_words(F.col(column)), " "))
-    return df.join(changes, key, "left").withColumn(column, lemmas.otherwise(swapped)).drop("_lemmas")
 
 
 # The polished columns. The author's name only gets its white space cleaned.
 POLISHED = ["title", "author", "excerpt", "body", "tags", "categories"]
 
 
-def polish_columns(df: DataFrame, columns: list[str] = POLISHED) -> DataFrame:
-    """Clean, normalise and drop stop words in every text column, in one projection.
+def polish_columns(
+    df: DataFrame, columns: list[str] = POLISHED, lexicon: DataFrame | None = None, key: str = "uuid"
+) -> DataFrame:
+    """Clean, normalise, drop stop words and, with a lexicon, lemmatise every text column.
 
-    Body paragraphs are joined by a blank; tags stay a list.
+    All but the last step are one projection.  Body paragraphs are joined by a blank; tags stay a
+    list.
     """
 
     def chain(c: Column) -> Column:
@@ -76,4 +126,8 @@ def polish_columns(df: DataFrame, columns: list[str] = POLISHED) -> DataFrame:
             return chain(F.array_join(c, " ")).alias(f.name)
         return map_strings(c, f.dataType, chain).alias(f.name)
 
-    return df.select([polished(f) for f in df.schema])
+    done = df.select([polished(f) for f in df.schema])
+    if lexicon is None:
+        return done
+    worded = [c for c in df.columns if c in columns and c != "author"]
+    return lemmatize(done, lexicon, key, worded)

@@ -20,7 +20,13 @@ def newest_release_files(datasets: DataFrame, files: DataFrame) -> DataFrame:
     """
     newest = datasets.agg(F.max("release_id").alias("release_id"))  # one row
     current = datasets.join(F.broadcast(newest), "release_id", "left_semi")
-    return current.join(files, ["release_id", "name"], "left")
+    keys = ["release_id", "name"]
+    # The files are the large side, and one dataset may hold most of them.  As the left side of
+    # inner joins such a dataset can be split; on the right of an outer join it could not.
+    listed = files.join(current, keys)
+    bare = current.join(files.select(keys).distinct(), keys, "left_anti")
+    columns = [*current.columns, "file"]
+    return listed.select(columns).unionByName(bare.withColumn("file", F.lit(None).cast("string")))
 
 
 def release_catalog(datasets: DataFrame, files: DataFrame, files_per_row: int = 10_000) -> DataFrame:
@@ -35,8 +41,11 @@ def release_catalog(datasets: DataFrame, files: DataFrame, files_per_row: int =
     totals = listed.groupBy("release_id", "name").agg(F.count("file").alias("n_files"))
     parts = F.greatest(F.ceil(F.col("n_files") / files_per_row), F.lit(1))
     spread = listed.join(totals, ["release_id", "name"]).withColumn(
-        "part", F.coalesce(F.pmod(F.xxhash64("file"), parts), F.lit(0)).cast("int")
+        "part",
+        F.when(F.col("file").isNull(), 0).otherwise(F.pmod(F.xxhash64("file"), parts)).cast("int"),
     )
+    # Named here, or the join's partitioning by dataset would be kept for the parts.
+    spread = spread.repartition("release_id", "name", "part")
     return spread.groupBy(*keys, "n_files", "part").agg(
         F.sort_array(F.collect_list("file")).alias("files")
     )

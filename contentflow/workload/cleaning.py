@@ -147,7 +147,7 @@ FROM toks LEFT JOIN lex ON w = word GROUP BY doc_id""",
 def lemmatize(t):
     plain = t.documents.select("doc_id", markup.normalize_text(F.col("text")).alias("text"))
     lex = fx.lexicon(t, markup.normalize_text(F.col("text")))
-    return C.lemmatize(plain, lex, "doc_id", "text")
+    return C.lemmatize(plain, lex, "doc_id", ["text"])
 
 
 @query(
@@ -188,13 +188,33 @@ def _chain(x: str) -> str:
     return s.without_stop_words(s.normalize(s.clean(x)))
 
 
+_POLISHED = f"""{s.POSTS}, polished AS (
+  SELECT seq, {s.clean('author')} AS author, {_chain('title')} AS title, {_chain('excerpt')} AS excerpt,
+         {_chain("array_to_string(body, ' ')")} AS body,
+         [{_chain('tags[1]')}, {_chain('tags[2]')}] AS tags, {_chain('categories')} AS categories FROM posts)"""
+
+
 @query(
     "polish_columns",
-    f"""WITH {s.POSTS}
-SELECT seq, {s.clean('author')} AS author, {_chain('title')} AS title, {_chain('excerpt')} AS excerpt,
-       {_chain("array_to_string(body, ' ')")} AS body,
-       {_chain('tags[1]')} || '|' || {_chain('tags[2]')} AS tags, {_chain('categories')} AS categories FROM posts""",
+    f"WITH {_POLISHED} SELECT seq, author, title, excerpt, body, array_to_string(tags, '|') AS tags, categories FROM polished",
 )
 def polish_columns(t):
     rows = fx.posts(t).select("seq", "author", "title", "excerpt", "body", "tags", "categories")
     return C.polish_columns(rows).withColumn("tags", F.array_join("tags", "|"))
+
+
+def _lemmas(x: str) -> str:
+    return f"""(SELECT coalesce(string_agg(coalesce(lemma, w), ' ' ORDER BY i), '')
+  FROM unnest(list_filter(string_split({x}, ' '), lambda y: y <> '')) WITH ORDINALITY AS u(w, i) LEFT JOIN lex ON w = word)"""
+
+
+@query(
+    "polish_and_lemmatize",
+    f"""WITH {_POLISHED}, {_LEX}
+SELECT seq, author, {_lemmas('title')} AS title, {_lemmas('body')} AS body,
+       {_lemmas('tags[1]')} || '|' || {_lemmas('tags[2]')} AS tags FROM polished""",
+)
+def polish_and_lemmatize(t):
+    rows = fx.posts(t).select("seq", "author", "title", "body", "tags")
+    lex = fx.lexicon(t, markup.normalize_text(F.col("text")))
+    return C.polish_columns(rows, lexicon=lex, key="seq").withColumn("tags", F.array_join("tags", "|"))
