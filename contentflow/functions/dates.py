@@ -4,26 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from contentflow.functions.binding import let
+
 MISSING = "N/A"
 
-# Formats tried in turn by standardize_date, two-digit years last.
-DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "d MMMM yyyy",
-    "d MMM yyyy",
-]
+# Accepted formats and what text in that format looks like.  The look comes first: a failed parse
+# costs an exception, and most text fits one look only.
+DATE_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d\d-\d\d$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "MMMM d, yyyy": r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{3,9} \d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+}
 
 
 def short_us_date(c: Column) -> Column:
     """``m/d/yy`` as a date. Years 69 to 99 belong to the last century."""
-    d = F.try_to_date(c, "M/d/yy")
-    return F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
+    parsed = F.try_to_date(c, "M/d/yy")
+    return let(parsed, lambda d: F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d))
 
 
 def parse_us_date(c: Column) -> Column:
@@ -31,10 +34,11 @@ def parse_us_date(c: Column) -> Column:
     return F.coalesce(F.date_format(short_us_date(c), "yyyy-MM-dd"), F.lit(MISSING))
 
 
-def standardize_date(c: Column, formats: list[str] = DATE_FORMATS) -> Column:
+def standardize_date(c: Column, formats: dict[str, str] = DATE_FORMATS) -> Column:
     """Any date in a known format to ISO text, otherwise NULL."""
-    tried = [F.try_to_date(c, f) for f in formats] + [short_us_date(c)]
-    return F.date_format(F.coalesce(*tried), "yyyy-MM-dd")
+    tried = [F.when(c.rlike(look), F.try_to_date(c, f)) for f, look in formats.items()]
+    short = F.when(c.rlike(r"^\d{1,2}/\d{1,2}/\d\d$"), short_us_date(c))
+    return F.date_format(F.coalesce(*tried, short), "yyyy-MM-dd")
 
 
 def iso_date(c: Column) -> Column:

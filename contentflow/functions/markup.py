@@ -14,7 +14,7 @@ from html.entities import html5
 from pyspark.sql import Column, functions as F
 
 from contentflow.functions.binding import let
-from contentflow.functions.text import SPACE, squeeze, strip
+from contentflow.functions.text import NOT_PLAIN, squeeze, strip
 
 REPLACEMENT = chr(0xFFFD)
 MARK, OPEN, CLOSE = "\x01", "\x02", "\x03"
@@ -166,7 +166,7 @@ def raw_text(html: Column) -> Column:
 
 def normalize_plain(c: Column) -> Column:
     """Lower-case, drop everything but ASCII letters, digits and whitespace, collapse whitespace."""
-    return squeeze(F.regexp_replace(F.lower(c), f"[^a-z0-9{SPACE}]", ""))
+    return squeeze(F.regexp_replace(F.lower(c), f"{NOT_PLAIN}+", ""))
 
 
 def normalize_text(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from contentflow.functions.binding import let
 from contentflow.functions.text import unescape_slashes, word_count
 from contentflow.schemas import MEDICAL_LISTS, METADATA_LISTS, RESEARCH_LISTS, RESULT_KEYS
 
@@ -121,7 +122,7 @@ def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame
         one = F.try_variant_get("_v", f"$.{key}", "string")
         return F.coalesce(
             F.try_variant_get("_v", f"$.{key}", "array<string>"),
-            F.when(one.isNotNull(), F.array(one)),
+            let(one, lambda x: F.when(x.isNotNull(), F.array(x))),
             empty,
         )
 

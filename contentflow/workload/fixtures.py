@@ -162,19 +162,21 @@ def responses(rows: DataFrame, keys: list[str], n: Column, text: Column) -> Data
     Every 9th answer is cut off, every 13th has one string in place of its first list.
     """
     words = F.split(text, " ")
+    rows = rows.select(*keys, n.alias("_n"), words.alias("_words"))
 
     def deal(j: int) -> Column:
-        return F.filter(words, lambda w, i: i % 20 == j)
+        return F.filter("_words", lambda w, i: i % 20 == j)
 
-    dealt = {k: deal(j) for j, k in enumerate(RESULT_KEYS)}
-    lists = F.struct(*[c.alias(k) for k, c in dealt.items()], F.lit("x").alias("unknown_key"))
     first = RESULT_KEYS[0]
+    lists = F.struct(*[deal(j).alias(k) for j, k in enumerate(RESULT_KEYS)], F.lit("x").alias("unknown_key"))
+    rows = rows.select(*keys, "_n", lists.alias("_lists"))
     single = F.struct(
-        F.array_join(dealt[first], " ").alias(first), *[dealt[k].alias(k) for k in RESULT_KEYS[1:]]
+        F.array_join(F.col("_lists")[first], " ").alias(first),
+        *[F.col("_lists")[k].alias(k) for k in RESULT_KEYS[1:]],
     )
-    whole = F.to_json(lists)
+    n, whole = F.col("_n"), F.to_json("_lists")
     answer = (
-        F.when(n % 9 == 0, F.concat(F.lit('{"summary": ['), F.lit('"cut')))
+        F.when(n % 9 == 0, F.lit('{"summary": ["cut'))
         .when(n % 13 == 0, F.to_json(single))
         .when(n % 5 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
         .otherwise(whole)
