@@ -30,8 +30,10 @@ def keywords(
     spread = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     total = df.agg(F.count(F.lit(1)).alias("docs"))  # one row
     idf = F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1
+    # One row per word on the hinted side, so its hash tables are even and small; sorting the
+    # (document, word) pairs for a merge join would cost more than everything else here.
     scored = (
-        tf.join(spread, "word")
+        tf.join(spread.hint("shuffle_hash"), "word")
         .crossJoin(F.broadcast(total))
         .select(key, "word", F.round(F.col("tf") * idf, 6).alias("score"))
     )

@@ -23,13 +23,19 @@ def append_increment(existing: DataFrame, new: DataFrame, date: str = "date") ->
 
 
 def linearize(changes: DataFrame) -> DataFrame:
-    """Give the rows of a diff set their replay order as one sortable column.
+    """Give the rows of a diff set their replay order as one number, ``seq``.
 
     Diffs come in order; inside a diff all update files precede all delete files; inside a phase
-    files and lines count.
+    files and lines count.  The number is as dense as the file sizes allow, which keeps the ranges of
+    the order-dependent operators even.
     """
+    sizes = changes.agg(
+        (F.max("file_idx").cast("long") + 1).alias("_files"), (F.max("line_idx").cast("long") + 1).alias("_lines")
+    )
     phase = F.when(F.col("op") == DELETE, 1).otherwise(0)
-    return changes.withColumn("seq", F.struct("diff_idx", phase.alias("phase"), "file_idx", "line_idx"))
+    file = (F.col("diff_idx") * 2 + phase) * F.col("_files") + F.col("file_idx")
+    seq = file * F.col("_lines") + F.col("line_idx")
+    return changes.crossJoin(F.broadcast(sizes)).withColumn("seq", seq).drop("_files", "_lines")
 
 
 def latest_changes(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contentflow.functions.binding import let
 from contentflow.functions.text import unescape_slashes, word_count
 from contentflow.schemas import MEDICAL_LISTS, METADATA_LISTS, RESEARCH_LISTS, RESULT_KEYS
 
@@ -105,6 +104,14 @@ def extraction_requests(chunks: DataFrame, key: str, chunk: str = "chunk") -> Da
     return chunks.select(key, "chunk_idx", text.alias("request"))
 
 
+# The list of a key, or its single string as a list, or an empty list.
+_VALUES = """
+coalesce(
+  try_variant_get(_v, '$.{key}', 'array<string>'),
+  filter(array(try_variant_get(_v, '$.{key}', 'string')), x -> x is not null)
+)"""
+
+
 def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame:
     """Replace the response text by one list column per result key.
 
@@ -116,18 +123,8 @@ def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame
     parsed = responses.withColumn(
         "_v", F.try_parse_json(F.when(fenced != "", fenced).otherwise(c))
     ).drop(column)
-    empty = F.array().cast("array<string>")
-
-    def values(key: str) -> Column:
-        one = F.try_variant_get("_v", f"$.{key}", "string")
-        return F.coalesce(
-            F.try_variant_get("_v", f"$.{key}", "array<string>"),
-            let(one, lambda x: F.when(x.isNotNull(), F.array(x))),
-            empty,
-        )
-
     others = [x for x in parsed.columns if x != "_v"]
-    return parsed.select(*others, *[values(k).alias(k) for k in RESULT_KEYS])
+    return parsed.select(*others, *[F.expr(_VALUES.format(key=k)).alias(k) for k in RESULT_KEYS])
 
 
 def merge_chunk_results(parsed: DataFrame, key: str, idx: str = "chunk_idx") -> DataFrame:
@@ -139,37 +136,37 @@ def merge_chunk_results(parsed: DataFrame, key: str, idx: str = "chunk_idx") ->
     lists = F.struct(idx, *RESULT_KEYS)
     grouped = parsed.groupBy(key).agg(F.array_sort(F.collect_list(lists)).alias("_chunks"))
     # A field of an array of structs is the array of that field.
-    return grouped.select(key, *[F.flatten(F.col("_chunks")[k]).alias(k) for k in RESULT_KEYS])
+    return grouped.select(key, *[F.expr(f"flatten(_chunks.{k})").alias(k) for k in RESULT_KEYS])
 
 
-def nest_record(posts: DataFrame, results: DataFrame, key: str = "uuid") -> DataFrame:
+def nest_record(posts: DataFrame, results: DataFrame, key: str = "uuid", keep: list[str] = ()) -> DataFrame:
     """Flat post and its results to the nested record.
 
-    Missing text reads '', missing lists are empty, escaped slashes are repaired in links.
+    Missing text reads '', missing lists are empty, escaped slashes are repaired in links.  ``keep``
+    names columns to carry along, such as the input order.
     """
-    empty = F.array().cast("array<string>")
     joined = posts.join(results, key, "left")
 
-    def text(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(""))
+    def text(*names: str) -> list[Column]:
+        return [F.expr(f"coalesce({n}, '')").alias(n) for n in names]
 
-    def items(name: str) -> Column:
-        return F.coalesce(F.col(name), empty)
+    def items(*names: str) -> list[Column]:
+        return [F.expr(f"coalesce(`{n}`, cast(array() as array<string>))").alias(n) for n in names]
 
     def links(name: str) -> Column:
-        return F.transform(items(name), lambda x: unescape_slashes(x))
+        return F.transform(items(name)[0], lambda x: unescape_slashes(x)).alias(name)
 
-    metadata = [text("uuid").alias("uuid"), unescape_slashes(text("urlId")).alias("urlId")]
-    metadata += [text(n).alias(n) for n in ("date", "author", "title", "excerpt")]
     return joined.select(
-        F.struct(*metadata, *[items(n).alias(n) for n in METADATA_LISTS]).alias("Metadata"),
+        *keep,
+        F.struct(
+            *text("uuid"),
+            unescape_slashes(text("urlId")[0]).alias("urlId"),
+            *text("date", "author", "title", "excerpt"),
+            *items(*METADATA_LISTS),
+        ).alias("Metadata"),
         F.struct(
-            items("body").alias("body"),
-            links("images").alias("images"),
-            items("tags").alias("tags"),
-            links("references").alias("references"),
-            text("categories").alias("categories"),
+            *items("body"), links("images"), *items("tags"), links("references"), *text("categories")
         ).alias("Content"),
-        F.struct(*[items(n).alias(n) for n in MEDICAL_LISTS]).alias("Medical"),
-        F.struct(*[items(n).alias(n) for n in RESEARCH_LISTS]).alias("Research"),
+        F.struct(*items(*MEDICAL_LISTS)).alias("Medical"),
+        F.struct(*items(*RESEARCH_LISTS)).alias("Research"),
     )

@@ -27,12 +27,13 @@ def article_cards(pages: DataFrame, html: str = "html", keep: list[str] = ()) ->
     c = F.col("_card")
 
     def part(tag: str, css_class: str | None = None) -> Column:
-        inner = markup.first_inner(c, markup.open_tag(tag, css_class=css_class), tag)
-        return F.regexp_replace(inner, markup.TAG, markup.MARK)
+        # The whole first element, NULL without one; its own tags become marks like any other.
+        element = rf"(?is){markup.open_tag(tag, css_class=css_class)}.*?(?:</{tag}\s*>|\z)"
+        return F.regexp_replace(F.regexp_substr(c, F.lit(element)), markup.TAG, markup.MARK)
 
-    links = F.filter(markup.tags(c, "a"), lambda t: markup.has_attr(t, "href"))
+    link = F.regexp_substr(c, F.lit(r"(?is)<a\s(?:[^>]*\s)?href\s*=[^>]*>"))
     raw = {
-        "urlId": markup.raw_attr(F.try_element_at(links, F.lit(1)), "href"),
+        "urlId": markup.raw_attr(link, "href"),
         "date": part("time"),
         "author": part("span", "blog-author"),
         "title": part("h1", "blog-title"),

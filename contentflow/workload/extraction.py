@@ -79,13 +79,13 @@ def merge_chunk_results(t):
     return _joined_keys(X.merge_chunk_results(_results(t), "doc_id"), "doc_id")
 
 
-def _nested(t):
+def _nested(t, keep=()):
     posts = fx.posts(t).withColumn("images", F.array(F.concat(F.lit("https:\\/\\/img\\/"), F.col("seq"))))
     posts = posts.withColumn("urlId", F.concat(F.lit("\\/p\\/"), F.col("seq")))
     posts = posts.withColumn("excerpt", F.when(F.col("seq") % 3 != 0, F.col("excerpt")))
     results = X.merge_chunk_results(_results(t), "doc_id").withColumnRenamed("doc_id", "seq")
     # Every fifth post has no results yet.
-    return X.nest_record(posts, results.where("seq % 5 <> 0"), "seq")
+    return X.nest_record(posts, results.where("seq % 5 <> 0"), "seq", keep)
 
 
 _NESTED = f"""{s.POSTS}, {_RESULTS}, nested AS (

@@ -165,7 +165,7 @@ def responses(rows: DataFrame, keys: list[str], n: Column, text: Column) -> Data
     rows = rows.select(*keys, n.alias("_n"), words.alias("_words"))
 
     def deal(j: int) -> Column:
-        return F.filter("_words", lambda w, i: i % 20 == j)
+        return F.expr(f"filter(_words, (w, i) -> i % 20 = {j})")
 
     first = RESULT_KEYS[0]
     lists = F.struct(*[deal(j).alias(k) for j, k in enumerate(RESULT_KEYS)], F.lit("x").alias("unknown_key"))

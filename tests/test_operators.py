@@ -278,3 +278,29 @@ def test_lemmatize_long_text(spark):
     got = {r.id: (r.text, r.tags) for r in cleaning.lemmatize(df, lex, "id", ["text", "tags"]).collect()}
     want = " ".join(f"l{w[1:]}" if int(w[1:]) % 2 == 0 else w for w in words)
     assert got == {1: (want, ["l2 w3", "l4"]), 2: ("", [])}
+
+
+def test_diff_flow(spark):
+    from contentflow.plans.release import apply_diffs
+
+    feed = [
+        (0, "delete", 0, 0, "a", None), (0, "upsert", 1, 3, "a", "1"), (0, "upsert", 0, 0, "b", "2"),
+        (1, "delete", 0, 0, "c", None), (1, "delete", 0, 1, "a", None), (1, "upsert", 0, 0, "b", "3"),
+    ]
+    c = spark.createDataFrame(feed, "diff_idx int, op string, file_idx int, line_idx int, key string, payload string")
+    target = spark.createDataFrame([("c", "0"), ("d", "9")], "key string, payload string")
+    table, missed = apply_diffs(target, c, "key")
+    assert rows(table, "key", "payload") == [("b", "3"), ("d", "9")]
+    assert rows(missed, "key") == [("a",)]
+
+
+def test_open_requests_are_those_past_the_mark(spark):
+    from contentflow.plans.blog import nested_records, open_requests
+
+    posts = [{f.name: None for f in POST} | {"uuid": f"u{i}", "date": f"2024-01-0{i}", "body": ["a b", "c"]} for i in (1, 2, 3)]
+    df = spark.createDataFrame(posts, POST)
+    no_answers = spark.createDataFrame([], "uuid string, chunk_idx int, response string")
+    done = nested_records(df.where("date < '2024-01-03'"), no_answers)
+    asked = open_requests(df, done, max_words=2).collect()
+    assert sorted((r.uuid, r.chunk_idx) for r in asked) == [("u3", 0), ("u3", 1)]
+    assert "text: a b" in asked[0].request or "text: c" in asked[0].request
