@@ -152,15 +152,16 @@ def paper_tldr(summaries: DataFrame, key: str, paper_id=None, column: str = "sum
 
 def _nearest(candidates: DataFrame, target: DataFrame, key: str, vector: str, dim: int, limit: int) -> DataFrame:
     """Top ``limit`` by cosine to the one target row; candidates are unit vectors."""
-    goal = target.select("_t", F.sqrt(F.aggregate("_t", F.lit(0.0), lambda a, x: a + x * x)).alias("_norm"))
-    score = F.round(dot(vector, "_t", dim) / F.col("_norm"), 4)
-    scored = candidates.crossJoin(F.broadcast(goal)).select(key, score.alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(limit)
+    norm = F.sqrt(F.aggregate("_t", F.lit(0.0), lambda a, x: a + x * x))
+    goal = target.select(F.struct("_t", norm.alias("_norm")).alias("_goal"))
+    aimed = candidates.select(key, vector, goal.scalar().alias("_goal")).where("_goal is not null")
+    score = F.round(dot(vector, "_goal._t", dim) / F.col("_goal._norm"), 4)
+    return aimed.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
 def recommend(vectors: DataFrame, key: str, seed, limit: int = 100, vector: str = "embedding", dim: int = 64) -> DataFrame:
     """Papers nearest to one paper, which is left out."""
-    target = vectors.where(F.col(key) == F.lit(seed)).select(F.col(vector).alias("_t")).limit(1)
+    target = vectors.where(F.col(key) == F.lit(seed)).select(F.col(vector).cast("array<double>").alias("_t")).limit(1)
     return _nearest(vectors.where(F.col(key) != F.lit(seed)), target, key, vector, dim, limit)
 
 
@@ -168,7 +169,7 @@ def _difference(positive: DataFrame, negative: DataFrame | None) -> DataFrame:
     """Mean of the positives minus mean of the negatives: two one-row frames in, one row out."""
     if negative is None:
         return positive.select(F.col("_m").alias("_t"))
-    both = positive.crossJoin(F.broadcast(negative.select(F.col("_m").alias("_n"))))
+    both = positive.withColumn("_n", negative.scalar())
     minus = F.zip_with("_m", "_n", lambda p, n: p - F.coalesce(n, F.lit(0.0)))
     return both.select(minus.alias("_t"))
 
@@ -200,9 +201,7 @@ def recommend_for_author(vectors: DataFrame, key: str, author: str, positive: li
 
 def trending(citations: DataFrame, paper: str, date: str, days: int = 30, limit: int = 100) -> DataFrame:
     """Most cited papers of the last ``days`` days of the data, ties by id."""
-    last = citations.agg(F.max(date).alias("_last"))  # one row
-    recent = citations.crossJoin(F.broadcast(last)).where(
-        F.col(date).cast("date") > F.date_sub(F.col("_last").cast("date"), days)
-    )
+    first_day = citations.agg(F.date_sub(F.max(date).cast("date"), days).alias("d")).scalar()
+    recent = citations.where(F.col(date).cast("date") > first_day)
     counted = recent.groupBy(paper).agg(F.count(F.lit(1)).alias("citations"))
     return counted.orderBy(F.desc("citations"), paper).limit(limit)

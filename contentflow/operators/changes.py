@@ -29,13 +29,11 @@ def linearize(changes: DataFrame) -> DataFrame:
     files and lines count.  The number is as dense as the file sizes allow, which keeps the ranges of
     the order-dependent operators even.
     """
-    sizes = changes.agg(
-        (F.max("file_idx").cast("long") + 1).alias("_files"), (F.max("line_idx").cast("long") + 1).alias("_lines")
-    )
+    files = changes.agg((F.max("file_idx").cast("long") + 1).alias("n")).scalar()
+    lines = changes.agg((F.max("line_idx").cast("long") + 1).alias("n")).scalar()
     phase = F.when(F.col("op") == DELETE, 1).otherwise(0)
-    file = (F.col("diff_idx") * 2 + phase) * F.col("_files") + F.col("file_idx")
-    seq = file * F.col("_lines") + F.col("line_idx")
-    return changes.crossJoin(F.broadcast(sizes)).withColumn("seq", seq).drop("_files", "_lines")
+    file = (F.col("diff_idx") * 2 + phase) * files + F.col("file_idx")
+    return changes.withColumn("seq", file * lines + F.col("line_idx"))
 
 
 def latest_changes(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:

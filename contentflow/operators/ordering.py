@@ -18,10 +18,10 @@ BUCKETS = 4096
 
 def with_bucket(df: DataFrame, seq: str, buckets: int = BUCKETS, name: str = "_bucket") -> DataFrame:
     """Add the number of the range that ``seq`` falls into."""
-    span = df.agg(F.min(seq).cast("double").alias("_lo"), F.max(seq).cast("double").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1) / buckets
-    bucket = F.least(F.floor((F.col(seq) - F.col("_lo")) / width), F.lit(buckets - 1)).cast("int")
-    return df.crossJoin(F.broadcast(span)).withColumn(name, bucket).drop("_lo", "_hi")
+    low = df.agg(F.min(seq).cast("double").alias("lo")).scalar()
+    width = df.agg(((F.max(seq).cast("double") - F.min(seq) + 1) / buckets).alias("w")).scalar()
+    bucket = F.least(F.floor((F.col(seq) - low) / width), F.lit(buckets - 1)).cast("int")
+    return df.withColumn(name, bucket)
 
 
 def with_previous(

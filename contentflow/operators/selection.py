@@ -52,11 +52,11 @@ def crawl_until_known(
     first = shown.agg(F.min("_p").alias("_first"))
     fruitful = fresh.select(F.col(page).alias("_p")).distinct()
     blocked = seen_titles.select(F.col(page).alias("_p")).distinct()
-    good = fruitful.join(blocked, "_p", "left_anti").crossJoin(F.broadcast(first)).where("_p > _first")
+    good = fruitful.join(blocked, "_p", "left_anti").where(F.col("_p") > first.scalar())
     # The page after each page that was taken; the smallest that is not good ends the crawl.
     nexts = good.select("_p").union(first.select("_first")).select((F.col("_p") + 1).alias("_p"))
     stop = nexts.join(good.select("_p"), "_p", "left_anti").agg(F.min("_p").alias("_stop"))
-    return fresh.crossJoin(F.broadcast(stop)).where(F.col(page) < F.col("_stop")).drop("_stop")
+    return fresh.where(F.col(page) < stop.scalar())
 
 
 def after_high_water(new: DataFrame, existing: DataFrame, date: str = "date") -> DataFrame:
@@ -67,10 +67,8 @@ def after_high_water(new: DataFrame, existing: DataFrame, date: str = "date") ->
         is_text = dict(df.dtypes)[date] == "string"
         return iso_date(F.col(date)) if is_text else F.col(date)
 
-    mark = existing.agg(F.max(as_date(existing)).alias("_mark"))  # one row
-    d = as_date(new)
-    keep = F.col("_mark").isNull() | d.isNull() | (d > F.col("_mark"))
-    return new.crossJoin(F.broadcast(mark)).where(keep).drop("_mark")
+    mark = existing.agg(F.max(as_date(existing)).alias("mark")).scalar()
+    return new.where(F.coalesce(as_date(new) > mark, F.lit(True)))
 
 
 def has_metadata_date(df: DataFrame) -> DataFrame:

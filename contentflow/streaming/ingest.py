@@ -63,8 +63,8 @@ def stream_high_water(stream: DataFrame, target: str, marks: str, checkpoint: st
         spark = batch.sparkSession
         mark_schema = T.StructType([T.StructField("mark", batch.schema[date].dataType)])
         mark = _earlier(spark, marks, mark_schema, batch_id).agg(F.max("mark").alias("_mark"))
-        late = F.col(date) <= F.col("_mark")
-        fresh = batch.crossJoin(F.broadcast(mark)).where(~F.coalesce(late, F.lit(False))).drop("_mark")
+        late = F.col(date) <= mark.scalar()
+        fresh = batch.where(~F.coalesce(late, F.lit(False)))
         out = f"{target}/batch={batch_id}"
         fresh.write.mode("overwrite").parquet(out)
         written = spark.read.schema(batch.schema).parquet(out)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentflow.functions.text import PUNCTUATION
-from contentflow.operators import pages as P
 from contentflow.plans import blog, cleaner
-from contentflow.schemas import RESULT_KEYS
+from contentflow.session import stage
 from contentflow.workload import analytics as wa, extraction as we, fixtures as fx, pages as wp, sqltext as s
 from contentflow.workload.cleaning import _chain
 from contentflow.workload.registry import query
@@ -35,9 +34,9 @@ def refresh_store(t):
     index = listed.groupBy("page").agg(F.array_sort(F.collect_list("c")).alias("c")).select(
         "page", F.array_join(F.transform("c", lambda x: x["card"]), "").alias("html")
     )
-    last = t.pages.agg((F.max("page_id") * 0.7).alias("_m"))
+    last = t.pages.agg((F.max("page_id") * 0.7).alias("m")).scalar()
     none = F.array().cast("array<string>")
-    stored = t.pages.crossJoin(F.broadcast(last)).where(p > F.col("_m")).select(
+    stored = t.pages.where(p > last).select(
         F.col("url").alias("urlId"), F.concat(F.lit("Page "), p).alias("title"), F.array(F.lit("old")).alias("body"), none.alias("images")
     )
     store = blog.refresh_store(index, fx.pages_with_extras(t), stored, wp.SITE, fx.ARTICLE, "article")
@@ -53,7 +52,7 @@ SELECT seq, row_number() OVER (ORDER BY date DESC, seq) AS rank, "urlId", replac
        {s.joined('key_findings')} AS key_findings FROM nested WHERE seq % 4 <> 0""",
 )
 def normalize_store(t):
-    nested = we._nested(t, keep=["seq"])
+    nested = stage(we._nested(t, keep=["seq"]), "records")
     dated = F.when(F.col("seq") % 4 != 0, F.col("Metadata.date"))
     escaped = F.replace("Metadata.title", F.lit("e"), F.lit("\\u00e9"))
     link = F.lit("https:\\/\\/img\\/")

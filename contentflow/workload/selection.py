@@ -70,8 +70,8 @@ def crawl_until_known(t):
         "seq", F.floor(F.col("seq") / 25).alias("page"), F.md5(F.array_join("body", "|")).alias("url"),
         title.alias("title"),
     )
-    last = paged.agg((F.max("seq") * 0.7).alias("_m"))
-    known = paged.crossJoin(F.broadcast(last)).where(F.col("seq") > F.col("_m")).select("title")
+    last = paged.agg((F.max("seq") * 0.7).alias("m")).scalar()
+    known = paged.where(F.col("seq") > last).select("title")
     return S.crawl_until_known(paged, known, url="url").select("seq", "page", "title")
 
 
