@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contentflow.functions import dates, markup, records, text
 from contentflow.operators import cleaning as C
+from contentflow.session import stage
 from contentflow.workload import fixtures as fx, sqltext as s
 from contentflow.workload.registry import query
 
@@ -139,15 +140,19 @@ _LEX = f"""toks AS (
   SELECT v.w AS word, b.w AS lemma FROM vocab v JOIN vocab b ON v.w = b.w || 's' WHERE b.w <> '')"""
 
 
+def _plain(t):
+    """Normalised texts, staged: the word list and the texts themselves read them."""
+    return stage(t.documents.select("doc_id", markup.normalize_text(F.col("text")).alias("text")), "plain")
+
+
 @query(
     "lemmatize",
     f"""WITH {_LEX} SELECT doc_id, string_agg(coalesce(lemma, w), ' ' ORDER BY i) AS text
 FROM toks LEFT JOIN lex ON w = word GROUP BY doc_id""",
 )
 def lemmatize(t):
-    plain = t.documents.select("doc_id", markup.normalize_text(F.col("text")).alias("text"))
-    lex = fx.lexicon(t, markup.normalize_text(F.col("text")))
-    return C.lemmatize(plain, lex, "doc_id", ["text"])
+    plain = _plain(t)
+    return C.lemmatize(plain, fx.lexicon(plain, "text"), "doc_id", ["text"])
 
 
 @query(
@@ -216,5 +221,5 @@ SELECT seq, author, {_lemmas('title')} AS title, {_lemmas('body')} AS body,
 )
 def polish_and_lemmatize(t):
     rows = fx.posts(t).select("seq", "author", "title", "body", "tags")
-    lex = fx.lexicon(t, markup.normalize_text(F.col("text")))
+    lex = fx.lexicon(_plain(t), "text")
     return C.polish_columns(rows, lexicon=lex, key="seq").withColumn("tags", F.array_join("tags", "|"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentflow.functions import markup
+from contentflow.functions.text import split_words
+from contentflow.operators.ordering import with_bucket
 from contentflow.operators.pages import content_of
 from contentflow.schemas import RESULT_KEYS
 from contentflow.workload.registry import Tables
@@ -137,11 +139,9 @@ def feeds(pages: DataFrame) -> DataFrame:
     return grouped.select("feed_id", xml.alias("xml"))
 
 
-def lexicon(t: Tables, text: Column) -> DataFrame:
+def lexicon(texts: DataFrame, column: str) -> DataFrame:
     """Words ending in s whose form without it occurs as well."""
-    from contentflow.functions.text import split_words
-
-    words = t.documents.select(F.explode(F.array_distinct(split_words(text))).alias("word")).distinct()
+    words = texts.select(F.explode(F.array_distinct(split_words(F.col(column)))).alias("word")).distinct()
     plural = words.where(F.col("word").endswith("s")).select(
         "word", F.expr("substr(word, 1, length(word) - 1)").alias("lemma")
     )
@@ -200,7 +200,5 @@ def change_target(t: Tables) -> DataFrame:
 
 def slices(df: DataFrame, seq: str, n: int) -> list[DataFrame]:
     """The table cut into ``n`` consecutive ranges of ``seq``."""
-    from contentflow.operators.ordering import with_bucket
-
     cut = with_bucket(df, seq, n, "_slice")
     return [cut.where(F.col("_slice") == i).drop("_slice") for i in range(n)]
