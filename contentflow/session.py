@@ -16,7 +16,7 @@ def build_session(app: str = "contentflow", master: str | None = None, **conf: s
     AQE does the run-time work: it coalesces shuffle partitions, splits skewed join
     partitions and turns a shuffled join into a broadcast one when the measured side is
     below ``autoBroadcastJoinThreshold``.  That threshold is the size check behind every
-    broadcast in the package that is not a single row or a bounded list.
+    broadcast: no operator asks for one itself.
     """
     settings = {
         "spark.sql.session.timeZone": "UTC",

@@ -18,8 +18,8 @@ def newest_release_files(datasets: DataFrame, files: DataFrame) -> DataFrame:
     ``datasets(release_id, name, description, readme)``, ``files(release_id, name, file)``.
     A dataset without files keeps one row with a NULL file.
     """
-    newest = datasets.agg(F.max("release_id").alias("release_id"))  # one row
-    current = datasets.join(F.broadcast(newest), "release_id", "left_semi")
+    newest = datasets.agg(F.max("release_id").alias("release_id")).scalar()
+    current = datasets.where(F.col("release_id") == newest)
     keys = ["release_id", "name"]
     # The files are the large side, and one dataset may hold most of them.  As the left side of
     # inner joins such a dataset can be split; on the right of an outer join it could not.
