@@ -108,7 +108,7 @@ def drop_quotes(c: Column) -> Column:
     return F.transform(c, lambda p: F.replace(p, F.lit('"'), F.lit("")))
 
 
-def remove_stop_words(c: Column, words: list[str] = STOP_WORDS) -> Column:
+def remove_stopwords(c: Column, words: list[str] = STOP_WORDS) -> Column:
     """Drop stop words from whitespace-separated text; the comparison is case-sensitive."""
     return F.array_join(F.filter(split_words(c), lambda w: ~w.isin(words)), " ")
 

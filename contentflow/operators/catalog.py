@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from contentflow.functions.text import candidate_words
 
-# The fields asked for by default.
+# The field names of papers, of edges and of authors.
 PAPER_FIELDS = """
 paperId corpusId url title venue publicationVenue year authors externalIds abstract referenceCount
 citationCount influentialCitationCount isOpenAccess openAccessPdf fieldsOfStudy s2FieldsOfStudy

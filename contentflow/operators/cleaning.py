@@ -114,7 +114,7 @@ def polish_columns(
     """
 
     def chain(c: Column) -> Column:
-        return text.remove_stop_words(markup.normalize_text(text.clean_text(c)))
+        return text.remove_stopwords(markup.normalize_text(text.clean_text(c)))
 
     def polished(f: T.StructField) -> Column:
         c = F.col(f"`{f.name}`")

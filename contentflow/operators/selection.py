@@ -15,8 +15,9 @@ from contentflow.functions.text import keep_keywords
 
 
 def unseen(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """New rows whose key is not stored."""
-    return new.join(existing.select(key), key, "left_anti")
+    """New rows whose key is not stored. A missing key counts as a key like any other."""
+    stored = existing.select(F.col(key).alias("_stored"))
+    return new.join(stored, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
 
 
 def new_by_any_id(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -26,13 +27,14 @@ def new_by_any_id(new: DataFrame, existing: DataFrame) -> DataFrame:
         return F.coalesce(*[F.col(c) for c in ("uuid", "unique_id") if c in df.columns])
 
     known = existing.select(any_id(existing).alias("_id"))
-    return new.withColumn("_id", any_id(new)).join(known, "_id", "left_anti").drop("_id")
+    return unseen(new.withColumn("_id", any_id(new)), known, "_id").drop("_id")
 
 
 def first_page_only(posts: DataFrame, page: str = "page", url: str = "urlId") -> DataFrame:
     """Keep a URL only on the first page that shows it; repeats on that page stay."""
-    first = posts.groupBy(url).agg(F.min(page).alias(page))
-    return posts.join(first, [url, page], "left_semi")
+    first = posts.groupBy(F.col(url).alias("_url")).agg(F.min(page).alias("_page"))
+    same = F.col(url).eqNullSafe(F.col("_url")) & (F.col(page) == F.col("_page"))
+    return posts.join(first, same, "left_semi")
 
 
 def crawl_until_known(

@@ -117,9 +117,9 @@ def normalize_text(t):
     return both.select("id", markup.normalize_text(F.col("text")).alias("text"))
 
 
-@query("remove_stop_words", f"SELECT doc_id, {s.without_stop_words('text')} AS text FROM documents")
-def remove_stop_words(t):
-    return t.documents.select("doc_id", text.remove_stop_words(F.col("text")).alias("text"))
+@query("remove_stopwords", f"SELECT doc_id, {s.without_stop_words('text')} AS text FROM documents")
+def remove_stopwords(t):
+    return t.documents.select("doc_id", text.remove_stopwords(F.col("text")).alias("text"))
 
 
 @query(

@@ -150,8 +150,8 @@ def test_special_tokens(one):
 
 
 def test_stop_words_are_case_sensitive(one):
-    assert one(text.remove_stop_words, " The cat  and the\nhat isn't ") == "The cat hat"
-    assert one(text.remove_stop_words, "  ") == ""
+    assert one(text.remove_stopwords, " The cat  and the\nhat isn't ") == "The cat hat"
+    assert one(text.remove_stopwords, "  ") == ""
 
 
 def test_keep_keywords(one):

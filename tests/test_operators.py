@@ -304,3 +304,11 @@ def test_open_requests_are_those_past_the_mark(spark):
     asked = open_requests(df, done, max_words=2).collect()
     assert sorted((r.uuid, r.chunk_idx) for r in asked) == [("u3", 0), ("u3", 1)]
     assert "text: a b" in asked[0].request or "text: c" in asked[0].request
+
+
+def test_rows_without_a_key_are_kept_and_merged_once(spark):
+    posts = spark.createDataFrame([(1, None, "t"), (2, None, "t"), (2, "u", "s")], "page int, urlId string, title string")
+    assert selection.first_page_only(posts).count() == 2
+    new = posts.select("urlId").distinct()
+    once = changes.merge_new_first(new, new.where("urlId = 'u'"), "urlId").drop("batch")
+    assert changes.merge_new_first(new, once, "urlId").count() == once.count() == 2
