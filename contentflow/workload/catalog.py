@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentflow.operators import analytics as A, catalog as K
-from contentflow.workload import sqltext as s  # noqa: F401
 from contentflow.workload.analytics import _DOCS, _LISTS, _ranked
 from contentflow.workload.registry import query
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from contentflow.operators import pages as P
 from contentflow.session import shared_folder
 from contentflow.sources import feeds, posts as S, releases
-from contentflow.functions import text as X
 from contentflow.workload import fixtures as fx, sqltext as s
 from contentflow.workload.registry import query
 
