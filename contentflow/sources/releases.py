@@ -16,17 +16,15 @@ def newest_release_files(datasets: DataFrame, files: DataFrame) -> DataFrame:
     """Datasets of the newest release beside their files, one row per file.
 
     ``datasets(release_id, name, description, readme)``, ``files(release_id, name, file)``.
-    A dataset without files keeps one row with a NULL file.
+    Each dataset has one more row with a NULL file.
     """
     newest = datasets.agg(F.max("release_id").alias("release_id")).scalar()
     current = datasets.where(F.col("release_id") == newest)
     keys = ["release_id", "name"]
-    # The files are the large side, and one dataset may hold most of them.  As the left side of
-    # inner joins such a dataset can be split; on the right of an outer join it could not.
-    listed = files.join(current, keys)
-    bare = current.join(files.select(keys).distinct(), keys, "left_anti")
-    columns = [*current.columns, "file"]
-    return listed.select(columns).unionByName(bare.withColumn("file", F.lit(None).cast("string")))
+    # Every dataset adds one NULL file, so none is lost in the join.  The files are the large side,
+    # and one dataset may hold most of them: on the left of an inner join it can be split.
+    none = current.select(*keys, F.lit(None).cast("string").alias("file"))
+    return files.select(*keys, "file").unionByName(none).join(current, keys)
 
 
 def release_catalog(datasets: DataFrame, files: DataFrame, files_per_row: int = 10_000) -> DataFrame:
@@ -40,7 +38,8 @@ def release_catalog(datasets: DataFrame, files: DataFrame, files_per_row: int =
     listed = newest_release_files(datasets, files)
     totals = listed.groupBy("release_id", "name").agg(F.count("file").alias("n_files"))
     parts = F.greatest(F.ceil(F.col("n_files") / files_per_row), F.lit(1))
-    spread = listed.join(totals, ["release_id", "name"]).withColumn(
+    counted = listed.join(totals, ["release_id", "name"]).where("file is not null or n_files = 0")
+    spread = counted.withColumn(
         "part",
         F.when(F.col("file").isNull(), 0).otherwise(F.pmod(F.xxhash64("file"), parts)).cast("int"),
     )
