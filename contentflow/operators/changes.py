@@ -69,5 +69,5 @@ def delete_misses(target: DataFrame, changes: DataFrame, key: str, seq: str = "s
     ops = changes.select(key, seq, (F.col("op") == DELETE).cast("int").alias("_del"))
     history = with_previous(ops, [key], seq, "_del", "_before").where("_del = 1")
     known = target.select(key).distinct().withColumn("_known", F.lit(1))
-    first_misses = history.where("_before is null").join(known, key, "left_anti")
-    return history.where("_before = 1").select(seq, key).unionByName(first_misses.select(seq, key))
+    absent = F.col("_before").isNull() & F.col("_known").isNull()
+    return history.join(known, key, "left").where((F.col("_before") == 1) | absent).select(seq, key)
