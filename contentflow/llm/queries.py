@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentflow.llm import dedup
+from contentflow.llm import bpe, dedup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": bpe.op5_bpe,
     "op7_minhash": dedup.op7_minhash,
+    "op8_quality": quality.op8_quality,
 }
 
 SQL: dict[str, str] = {
     "op7_minhash": dedup.SQL,
+    "op8_quality": quality.SQL,
 }
