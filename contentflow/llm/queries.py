@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentflow.llm import bpe, dedup, quality
+from contentflow.llm import bpe, dedup, language, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op4_language": language.op4_language,
     "op5_bpe": bpe.op5_bpe,
     "op7_minhash": dedup.op7_minhash,
     "op8_quality": quality.op8_quality,
