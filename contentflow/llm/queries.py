@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentflow.llm import bpe, dedup, language, quality, toxicity
+from contentflow.llm import bpe, dedup, hmm, language, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": bpe.op5_bpe,
     "op7_minhash": dedup.op7_minhash,
     "op8_quality": quality.op8_quality,
+    "op9_hmm": hmm.op9_hmm,
 }
 
 SQL: dict[str, str] = {
