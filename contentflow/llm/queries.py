@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentflow.llm import bpe, dedup, hmm, language, quality, toxicity
+from contentflow.llm import bpe, chat, dedup, hmm, language, leaks, personal, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": leaks.op1_decontaminate,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_pii": personal.op3_pii,
     "op4_language": language.op4_language,
     "op5_bpe": bpe.op5_bpe,
+    "op6_chat": chat.op6_chat,
     "op7_minhash": dedup.op7_minhash,
     "op8_quality": quality.op8_quality,
     "op9_hmm": hmm.op9_hmm,
 }
 
 SQL: dict[str, str] = {
+    "op6_chat": chat.SQL,
     "op7_minhash": dedup.SQL,
     "op8_quality": quality.SQL,
 }
