@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentflow.llm import bpe, chat, dedup, hmm, language, leaks, personal, quality, toxicity
+from contentflow.llm import bpe, chat, dedup, hmm, language, leaks, passages, personal, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": leaks.op1_decontaminate,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": dedup.op7_minhash,
     "op8_quality": quality.op8_quality,
     "op9_hmm": hmm.op9_hmm,
+    "op10_passages": passages.op10_passages,
 }
 
 SQL: dict[str, str] = {
