@@ -69,7 +69,7 @@ def counts():
                 out[4, i] = part.sum()
         return pa.StructArray.from_arrays([pa.array(c) for c in out], fields=fields)
 
-    return F.arrow_udf(run, "struct<" + ",".join(f"{n}:bigint" for n in _COUNTS) + ">")
+    return F.arrow_udf(tokens.in_slices(run), "struct<" + ",".join(f"{n}:bigint" for n in _COUNTS) + ">")
 
 
 def _measures(c: str) -> dict[str, Column]:

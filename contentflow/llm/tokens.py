@@ -124,6 +124,35 @@ def words(column: pa.Array, separator: np.ndarray = SPACE, fold: np.ndarray = LO
     return Words(word_numbers(data, start, end, fold), np.searchsorted(start, offset), start, end, data, offset)
 
 
+def in_slices(run, size: int = 1 << 22):
+    """``run`` on parts of its columns of about ``size`` bytes (whole rows), so that its arrays stay small."""
+
+    def sliced(*columns: pa.Array) -> pa.Array:
+        weight = np.cumsum(sum(c.nbytes for c in columns) / max(len(columns[0]), 1) * np.ones(len(columns[0])))
+        text = [c for c in columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+        if text:
+            weight = np.sum([texts(c)[1][1:] for c in text], axis=0)
+        out, at = [], 0
+        while at < len(weight):
+            done = weight[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(weight, done + size, "right")))
+            out.append(run(*[c.slice(at, to - at) for c in columns]))
+            at = to
+        return pa.concat_arrays(out) if out else run(*columns)
+
+    return sliced
+
+
+def sliced_batches(batches, column: str = "text", size: int = 1 << 22):
+    """The rows of Arrow batches in batches of about ``size`` bytes of ``column``."""
+    for b in batches:
+        weight, at = texts(b.column(column))[1], 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(weight, weight[at] + size, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def runs(number: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """One number for each run of ``length`` neighbouring items."""
     n = len(number) - length + 1
