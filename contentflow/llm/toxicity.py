@@ -4,8 +4,8 @@ A document is the set of its lower-case letter runs, hashed into ``SLOTS`` slots
 logistic function of a bias, a weight for each term and the inner products of the terms' factors, so
 a pair of terms can count for more, or less, than the two alone.
 
-Term counts by label cover all labelled training texts, each different text once, so a group of
-copies is not evidence many times over.  Terms that come in enough texts and lean to a label beyond
+Term counts by label cover all labelled training texts, each different set of terms once, so a group
+of copies is not evidence many times over.  Terms that come in enough texts and lean to a label beyond
 ``LEAN`` standard errors take part.  The machine is fitted on about ``SAMPLE`` texts at most, those with the
 smallest hash, by rounds of gradient steps on partitions whose models are averaged; the model has
 ``SLOTS`` rows at most.
@@ -27,6 +27,7 @@ TEXTS, LEAN = 8, 4.0
 SAMPLE = 50_000
 SHARDS, ROUNDS, PASSES = 8, 6, 4
 RATE, DECAY = 0.3, 1e-4
+_FULL = 0xFFFF
 
 
 def _slots(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,10 +38,38 @@ def _slots(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both // SLOTS, both % SLOTS
 
 
+def packed():
+    """Arrow function: text to its terms, as the differences of rising slots in 16 bits; the largest value only adds up."""
+
+    def run(text: pa.Array) -> pa.Array:
+        row, slot = _slots(text)
+        step = slot.copy()
+        step[1:] -= np.where(row[1:] == row[:-1], slot[:-1], 0)
+        width = 1 + step // _FULL
+        end = np.cumsum(width)
+        out = np.full(int(end[-1]) if len(end) else 0, _FULL, np.uint16)
+        out[end - 1] = step % _FULL
+        at = np.append(0, end)[np.searchsorted(row, np.arange(len(text) + 1))] * 2
+        return pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out)])
+
+    return F.arrow_udf(tokens.in_slices(run), "binary")
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and slot of each term of packed terms."""
+    data, offset = tokens.texts(column)
+    step = np.frombuffer(data.tobytes(), np.uint16).astype(np.int64)
+    at = offset // 2
+    upto = np.append(0, np.cumsum(step))
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    ends = step != _FULL
+    return row[ends], (upto[1:] - upto[at[:-1]][row])[ends]
+
+
 def _by_label(batches):
-    """Batches ``text, toxic`` to rows ``slot, texts, toxic``."""
+    """Batches ``terms, toxic`` to rows ``slot, texts, toxic``."""
     for b in batches:
-        row, slot = _slots(b.column("text"))
+        row, slot = _unpacked(b.column("terms"))
         toxic = b.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         kinds, at = np.unique(slot, return_inverse=True)
         texts = np.bincount(at, minlength=len(kinds))
@@ -51,11 +80,11 @@ def _by_label(batches):
 
 
 def _featured(place: np.ndarray):
-    """Batches ``text, toxic, shard`` to rows ``shard, toxic, terms`` with the numbers of the terms that take part."""
+    """Batches ``terms, toxic, shard`` to rows ``shard, toxic, terms`` with the numbers of the terms that take part."""
 
     def run(batches):
         for b in batches:
-            row, slot = _slots(b.column("text"))
+            row, slot = _unpacked(b.column("terms"))
             term = place[slot]
             row, term = row[term >= 0], term[term >= 0]
             at = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
@@ -115,13 +144,13 @@ def _steps(w: np.ndarray, v: np.ndarray, bias: float, turn: int):
 
 
 def fit(labelled: DataFrame) -> Machine:
-    """The machine learned from rows ``text, toxic`` (0 or 1).
+    """The machine learned from rows ``terms`` (see ``packed``) and ``toxic`` (0 or 1).
 
-    Equal texts count once, with the larger label; rows without a label are left out and null texts
-    are empty.  Without any row the bias is -2 and no term takes part.
+    Equal sets of terms count once, with the larger label; rows without a label are left out.
+    Without any row the bias is -2 and no term takes part.
     """
-    known = labelled.where("toxic IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    once = known.groupBy(F.sha2("text", 256).alias("key")).agg(F.max("toxic").cast("long").alias("toxic"), F.first("text").alias("text"))
+    known = labelled.where("toxic IS NOT NULL")
+    once = known.groupBy(F.md5("terms").alias("key")).agg(F.max("toxic").cast("long").alias("toxic"), F.first("terms").alias("terms"))
     once = stage(once, "labelled")
     size = once.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     n, bad = size["n"], size["toxic"]
@@ -129,14 +158,14 @@ def fit(labelled: DataFrame) -> Machine:
     if not n:
         return Machine(place, np.zeros(0), np.zeros((0, FACTORS)), -2.0)
     share = (bad + 1) / (n + 2)
-    counts = once.select("text", "toxic").mapInArrow(_by_label, "slot bigint, texts bigint, toxic bigint")
+    counts = once.select("terms", "toxic").mapInArrow(_by_label, "slot bigint, texts bigint, toxic bigint")
     counts = counts.groupBy("slot").agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic")).where(f"texts >= {TEXTS}")
     off = F.abs(F.col("toxic") - F.col("texts") * share) / F.sqrt(F.col("texts") * share * (1 - share))
     chosen = sorted(r["slot"] for r in counts.where(off >= LEAN).select("slot").collect())  # at most SLOTS rows
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
     sample = once.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < int(min(1, SAMPLE / n) * (1 << 32)))
     shard = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard")
-    rows = sample.select("text", "toxic", shard).mapInArrow(_featured(place), "shard int, toxic bigint, terms array<int>")
+    rows = sample.select("terms", "toxic", shard).mapInArrow(_featured(place), "shard int, toxic bigint, terms array<int>")
     rows = stage(rows.repartition(SHARDS, "shard"), "features")
     w = np.zeros(len(chosen))
     v = np.random.default_rng(7).normal(0, 0.05, (len(chosen), FACTORS))
@@ -154,7 +183,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(text: pa.Array) -> pa.Array:
         return pa.array(machine.scores(text), pa.float64())
 
-    out = docs.withColumn("score", F.arrow_udf(run, "double")("text"))
+    out = docs.withColumn("score", F.arrow_udf(tokens.in_slices(run), "double")("text"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -162,5 +191,7 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    machine = fit(docs.where(~held_out).join(labels, "doc_id").select("text", "toxic"))
+    # The terms are a small part of a text.  The same join at any size, so that costs grow evenly.
+    terms = docs.where(~held_out).select("doc_id", packed()("text").alias("terms"))
+    machine = fit(terms.join(labels.hint("merge"), "doc_id").select("terms", "toxic"))
     return scored(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
