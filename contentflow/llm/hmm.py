@@ -36,7 +36,7 @@ BLOCK = 400_000
 
 def _word_counts(batches):
     """Batches ``text`` to rows ``word, n``."""
-    for b in batches:
+    for b in tokens.sliced_batches(batches, size=1 << 24):
         word, n = np.unique(tokens.words(b.column("text")).number, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
@@ -163,7 +163,7 @@ def _tallied(vocab: Vocabulary, model: Model):
 
     def run(batches):
         starts, moves, emit, loglik = np.zeros((2, STATES)), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)), 0.0
-        for b in batches:
+        for b in tokens.sliced_batches(batches):
             _, _, seq, at = _sequences(vocab, b.column("text"))
             if not len(seq):
                 continue
@@ -260,7 +260,7 @@ def _parts(vocab: Vocabulary, model: Model):
             fields=fields,
         )
 
-    return F.arrow_udf(run, "struct<n:bigint,known:bigint,logs:double,hidden:double,word:array<bigint>,times:array<int>>")
+    return F.arrow_udf(tokens.in_slices(run, 1 << 23), "struct<n:bigint,known:bigint,logs:double,hidden:double,word:array<bigint>,times:array<int>>")
 
 
 def scored(docs: DataFrame, held_out: Column, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:

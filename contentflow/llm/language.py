@@ -86,7 +86,7 @@ def _counted(names: list[str]):
     """Batches ``text, lang`` to rows ``kind, cell, lang, n``: kind 0 counts grams, 1 the words of a script."""
 
     def run(batches):
-        for b in batches:
+        for b in tokens.sliced_batches(batches):
             parts = _Parts(b.column("text"))
             lang = np.array([names.index(x) for x in b.column("lang").to_pylist()], np.int64)
             of_word = np.repeat(lang, np.diff(parts.w.at))
@@ -218,7 +218,7 @@ def labelled_spans(model: Model):
             fields=fields,
         )
 
-    return F.arrow_udf(run, "struct<lang_pred:string,score:double,spans:string>")
+    return F.arrow_udf(tokens.in_slices(run), "struct<lang_pred:string,score:double,spans:string>")
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
