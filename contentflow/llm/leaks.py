@@ -7,7 +7,8 @@ matrices of a row per slot reach the driver.  Every passage of every document is
 the right singular vectors and compared with the items' passages by cosine, in blocks of at most
 ``ITEMS`` items, so what a task holds does not grow with the benchmark.
 
-A candidate counts if the longest common subsequence of the item and the place has ``COPIED`` of the
+A candidate passage must have ``SHARED`` of its words, by weight, in common with the item.  It
+counts if the longest common subsequence of the item and the place has ``COPIED`` of the
 item's words, or ``REWORDED`` of them and ``ANSWERED`` of its answer: what follows its last question
 mark or, without one, its last sentence.
 """
@@ -25,9 +26,10 @@ from contentflow.session import stage
 
 SLOTS = 1 << 16
 WIDTH = 24
-RANK, EXTRA, POWERS = 96, 8, 3
+RANK, EXTRA, POWERS = 160, 16, 3
 ITEMS = 4096
-COSINE = 0.55
+#: Least cosine in the latent space, and least share of the words of a passage (by weight) that the item has.
+COSINE, SHARED = 0.6, 0.35
 COPIED, REWORDED, ANSWERED = 0.75, 0.5, 0.8
 #: Words handled at a time.
 BLOCK = 1 << 15
@@ -118,10 +120,11 @@ def _product(place: np.ndarray, weight: np.ndarray, thin: np.ndarray):
 
 
 class Space(NamedTuple):
-    """``place[slot]`` is a term's row in ``matrix``: its weight times its right singular vectors; the last row is zero."""
+    """``place[slot]`` is a term's row in ``matrix``: its weight times its right singular vectors; the last row, of other words, is zero."""
 
     place: np.ndarray
     matrix: np.ndarray
+    weight: np.ndarray
 
 
 def latent_space(docs: DataFrame, benchmark: DataFrame) -> Space:
@@ -130,12 +133,13 @@ def latent_space(docs: DataFrame, benchmark: DataFrame) -> Space:
     place = np.full(SLOTS, -1, np.int64)
     place[slots] = np.arange(len(slots))
     if not slots:
-        return Space(place, np.zeros((1, 1), np.float32))
+        return Space(place, np.zeros((1, 1), np.float32), np.ones(1))
     rows = docs.select("text").mapInArrow(_frequencies(place), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     seen = np.zeros(len(slots))
     for r in rows.collect():  # one row per term
         seen[r["term"]] = r["n"]
-    weight = np.log((docs.count() + 1) / (seen + 1)) + 0.1
+    total = docs.count()
+    weight = np.log((total + 1) / (seen + 1)) + 0.1
     width = min(RANK + EXTRA, len(slots))
     thin = np.linalg.qr(np.random.default_rng(1).normal(size=(len(slots), width)))[0]
     summed = [F.sum(F.col("d")[i]).alias(f"d{i}") for i in range(width)]
@@ -148,7 +152,7 @@ def latent_space(docs: DataFrame, benchmark: DataFrame) -> Space:
     square, turned = np.linalg.eigh((last.T @ image + image.T @ last) / 2)
     vectors = last @ turned[:, np.argsort(-square)[:RANK]]
     matrix = np.vstack([weight[:, None] * vectors, np.zeros((1, vectors.shape[1]))])
-    return Space(place, matrix.astype(np.float32))
+    return Space(place, matrix.astype(np.float32), np.append(weight, np.log(total + 1) + 0.1))
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -182,13 +186,15 @@ def common_subsequence(item: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 class Items(NamedTuple):
-    """Items of a block: ids, words, first word of the answer, passages' unit rows and the item of each passage."""
+    """Items of a block: ids, words, first word of the answer, passages' unit rows, the item of each passage, items' terms and weights."""
 
     id: list
     words: list
     answer: list
     unit: np.ndarray
     of: np.ndarray
+    terms: np.ndarray
+    weight: np.ndarray
 
 
 def _answer_start(text: str, words: int) -> int:
@@ -207,7 +213,20 @@ def block_of(space: Space, rows: list[tuple[int, str]]) -> Items:
     passages, _, of = _projected(w.number, np.diff(w.at), space.place, space.matrix)
     words = [w.number[a:b] for a, b in zip(w.at[:-1], w.at[1:], strict=True)]
     answer = [_answer_start(t or "", len(x)) for (_, t), x in zip(rows, words, strict=True)]
-    return Items([i for i, _ in rows], words, answer, _unit(passages), of)
+    item = np.repeat(np.arange(len(rows)), np.diff(w.at))
+    weight = np.bincount(item, space.weight[space.place[_slot(w.number)]], len(rows))
+    return Items([i for i, _ in rows], words, answer, _unit(passages), of, np.unique(item * SLOTS + _slot(w.number)), weight)
+
+
+def _shared(space: Space, items: Items, slot: np.ndarray, first: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Share, by weight, of the words ``first:end`` that ``item`` has; of the item's weight where that is less."""
+    at = first[:, None] + np.arange(WIDTH)[None, :]
+    inside = at < end[:, None]
+    words = slot[np.minimum(at, len(slot) - 1)]
+    weight = space.weight[space.place[words]] * inside
+    key = item[:, None] * SLOTS + words
+    hit = items.terms[np.minimum(np.searchsorted(items.terms, key), len(items.terms) - 1)] == key
+    return (weight * hit).sum(axis=1) / np.maximum(np.minimum(weight.sum(axis=1), items.weight[item]), 1e-9)
 
 
 FOUND = "array<struct<item_id:bigint,first:int,end:int,cosine:double,overlap:double,answer:double>>"
@@ -225,9 +244,15 @@ def search(space: Space, items: Items):
         w = tokens.words(text, separator=SEPARATOR)
         found: list[dict] = [{} for _ in range(len(text))]
         rows, start, of = _projected(w.number, np.diff(w.at), space.place, space.matrix)
-        for a in range(0, len(rows), 4096):
-            near = _unit(rows[a : a + 4096]) @ items.unit.T
-            for p, q in zip(*np.nonzero(near >= COSINE), strict=True):
+        slot = _slot(w.number)
+        end = w.at[of + 1] if len(of) else start
+        for a in range(0, len(rows), 2048):
+            near = _unit(rows[a : a + 2048]) @ items.unit.T
+            p, q = np.nonzero(near >= COSINE)
+            _, once = np.unique(p * len(items.id) + items.of[q], return_index=True)
+            p, q = p[once], q[once]
+            share = _shared(space, items, slot, start[a + p], end[a + p], items.of[q])
+            for p, q in zip(p[share >= SHARED].tolist(), q[share >= SHARED].tolist(), strict=True):
                 d, i = int(of[a + p]), int(items.of[q])
                 item, at = items.words[i], int(start[a + p])
                 known = found[d].get(i)
