@@ -30,9 +30,8 @@ def keywords(
     spread = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     docs = df.agg(F.count(F.lit(1)).alias("docs")).scalar()
     idf = F.log((docs + 1) / (F.col("df") + 1)) + 1
-    # One row per word on the hinted side, so its hash tables are even and small; sorting the
-    # (document, word) pairs for a merge join would cost more than everything else here.
-    scored = tf.join(spread.hint("shuffle_hash"), "word").select(
+    # No hint: Spark chooses by measured size, and a vocabulary of any size can spill.
+    scored = tf.join(spread, "word").select(
         key, "word", F.round(F.col("tf") * idf, 6).alias("score")
     )
     best = W.partitionBy(key).orderBy(F.desc("score"), "word")

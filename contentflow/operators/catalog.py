@@ -11,17 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from contentflow.functions.text import candidate_words
 
-# The field names of papers, of edges and of authors.
-PAPER_FIELDS = """
-paperId corpusId url title venue publicationVenue year authors externalIds abstract referenceCount
-citationCount influentialCitationCount isOpenAccess openAccessPdf fieldsOfStudy s2FieldsOfStudy
-publicationTypes publicationDate journal citationStyles
-""".split()
-PAPER_EXTRA_FIELDS = ["embedding.specter_v1", "embedding.specter_v2", "tldr"]
-EDGE_FIELDS = ["contexts", "intents", "contextsWithIntent", "isInfluential"]
-AUTHOR_FIELDS = """
-authorId externalIds url name affiliations homepage paperCount citationCount hIndex
-""".split()
+TERM = r"[\p{L}\p{N}_]+"
 
 
 def _fields(names: list[str] | None, default: DataFrame) -> list[Column]:
@@ -48,21 +38,25 @@ def search(
     table: DataFrame, key: str, text: str, query: str, offset: int = 0, limit: int = 100,
     fields: list[str] | None = None,
 ) -> DataFrame:
-    """Keyword search with paging; the score counts occurrences of query terms, ties by id."""
-    terms = sorted(set(query.lower().split()))
-    score = F.size(F.filter(candidate_words(F.col(text)), lambda w: w.isin(terms)))
+    """Keyword search with paging; the score counts occurrences of query terms, ties by id.
+
+    Query and text are cut into terms alike: runs of letters, digits and underscores of any length.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    asked = F.regexp_extract_all(F.lower(F.lit(query)), F.lit(TERM), F.lit(0))
+    score = F.size(F.filter(words, lambda w: F.array_contains(asked, w)))
     hits = table.withColumn("score", score).where("score > 0")
     page = hits.orderBy(F.desc("score"), key).offset(offset).limit(limit)
     return page.select(*_fields(fields or [key], table), "score")
 
 
-def title_match(table: DataFrame, key: str, title: str, query: str) -> DataFrame:
-    """The title closest to the query by token Jaccard, ties by id."""
+def title_match(table: DataFrame, key: str, title: str, query: str, fields: list[str] | None = None) -> DataFrame:
+    """The title closest to the query by token Jaccard, ties by id, with the wanted ``fields``."""
     asked = F.array_distinct(candidate_words(F.lit(query)))
     have = candidate_words(F.col(title))
     shared = F.size(F.array_intersect(have, asked))
     similarity = F.round(shared / F.size(F.array_union(have, asked)), 6)
-    scored = table.select(key, title, similarity.alias("similarity")).where("similarity > 0")
+    scored = table.select(*_fields(fields or [key, title], table), similarity.alias("similarity")).where("similarity > 0")
     return scored.orderBy(F.desc("similarity"), key).limit(1)
 
 
@@ -72,16 +66,28 @@ def autocomplete(table: DataFrame, key: str, title: str, prefix: str, limit: int
 
 
 def bulk_page(
-    table: DataFrame, key: str, token=None, n: int = 1000, fields: list[str] | None = None
+    table: DataFrame, key: str, token=None, n: int = 1000, fields: list[str] | None = None,
+    text: str | None = None, query: str | None = None,
 ) -> DataFrame:
-    """The ``n`` rows after the token, each with the token of the next page.
+    """The ``n`` rows after the token, each with the token of the next page, NULL on the last page.
 
-    Keyset paging: row-group statistics skip what lies before the token.
+    Keyset paging: row-group statistics skip what lies before the token.  With ``query`` only rows
+    count whose column ``text`` has all of its terms.  The key is among the columns in any case.
     """
     rest = table if token is None else table.where(F.col(key) > F.lit(token))
-    page = rest.select(*_fields(fields, table)).orderBy(key).limit(n)
-    # The window sees one page, at most n rows.
-    return page.withColumn("next_token", F.max(key).over(W.partitionBy(F.lit(1))))
+    if query is not None:
+        words = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+        asked = F.regexp_extract_all(F.lower(F.lit(query)), F.lit(TERM), F.lit(0))
+        rest = rest.where(F.size(F.array_except(asked, words)) == 0)
+    wanted = fields or table.columns
+    page = rest.select(*_fields([key, *[f for f in wanted if f != key]], table)).orderBy(key).limit(n + 1)
+    # The window sees one page, at most n + 1 rows; the last one only tells that there are more.
+    whole = W.partitionBy(F.lit(1)).orderBy(key)
+    numbered = page.withColumn("_n", F.row_number().over(whole))
+    every = W.partitionBy(F.lit(1))
+    last = F.max(F.when(F.col("_n") == n, F.col(key))).over(every)
+    more = F.max("_n").over(every) > n
+    return numbered.withColumn("next_token", F.when(more, last)).where(F.col("_n") <= n).drop("_n")
 
 
 def _one_or_all(df: DataFrame, key: str, wanted) -> DataFrame:
@@ -129,15 +135,22 @@ def author_papers(authorship: DataFrame, authors: DataFrame, author: str, paper:
 
 # --- vectors ---------------------------------------------------------------------------------
 
-def dot(a: str, b: str, dim: int) -> Column:
-    """Inner product of two array columns written out term by term, which stays in generated code;
-    the higher-order functions do not."""
-    return F.expr(" + ".join(f"cast(get({a}, {i}) as double) * cast(get({b}, {i}) as double)" for i in range(dim)))
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two vectors of any length; vectors of different length have none (NULL)."""
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def mean_vector(vector: str, dim: int) -> Column:
-    """Component-wise mean as one aggregate row; partial sums are made before the shuffle."""
-    return F.expr("array(" + ", ".join(f"avg(cast(get({vector}, {i}) as double))" for i in range(dim)) + ")")
+def mean_vector(df: DataFrame, keys: list[str], vector: str, name: str) -> DataFrame:
+    """Component-wise mean per ``keys``, as one array each.
+
+    Sums are made per component before the shuffle, so a group of any size costs no task more than
+    one row for each of its components.
+    """
+    parts = df.select(*keys, F.posexplode(vector).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
+    cells = F.array_sort(F.collect_list(F.struct("_i", "_x")))  # one per component
+    out = parts.groupBy(*keys).agg(F.transform(cells, lambda c: c["_x"]).alias(name))
+    return out.where(F.size(name) > 0)
 
 
 def paper_embedding(papers: DataFrame, key: str, model: str = "specter_v1", paper_id=None,
@@ -150,19 +163,24 @@ def paper_tldr(summaries: DataFrame, key: str, paper_id=None, column: str = "sum
     return _one_or_all(summaries, key, paper_id).select(key, F.col(column).alias("tldr"))
 
 
-def _nearest(candidates: DataFrame, target: DataFrame, key: str, vector: str, dim: int, limit: int) -> DataFrame:
-    """Top ``limit`` by cosine to the one target row; candidates are unit vectors."""
-    norm = F.sqrt(F.aggregate("_t", F.lit(0.0), lambda a, x: a + x * x))
-    goal = target.select(F.struct("_t", norm.alias("_norm")).alias("_goal"))
-    aimed = candidates.select(key, vector, goal.scalar().alias("_goal")).where("_goal is not null")
-    score = F.round(dot(vector, "_goal._t", dim) / F.col("_goal._norm"), 4)
-    return aimed.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(limit)
+def _length(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
 
 
-def recommend(vectors: DataFrame, key: str, seed, limit: int = 100, vector: str = "embedding", dim: int = 64) -> DataFrame:
+def _nearest(candidates: DataFrame, target: DataFrame, key: str, vector: str, limit: int, fields: list[str] | None) -> DataFrame:
+    """Top ``limit`` by cosine to the one target row; vectors of length zero or of another dimension are left out."""
+    goal = target.select(F.struct("_t", _length(F.col("_t")).alias("_norm")).alias("_goal"))
+    aimed = candidates.withColumn("_goal", goal.scalar()).where("_goal._norm > 0")
+    size = _length(F.col(vector))
+    score = F.when(size > 0, F.round(dot(F.col(vector), F.col("_goal._t")) / (size * F.col("_goal._norm")), 4))
+    ranked = aimed.select(*_fields(fields or [key], candidates), score.alias("score")).where("score IS NOT NULL")
+    return ranked.orderBy(F.desc("score"), key).limit(limit)
+
+
+def recommend(vectors: DataFrame, key: str, seed, limit: int = 100, vector: str = "embedding", fields: list[str] | None = None) -> DataFrame:
     """Papers nearest to one paper, which is left out."""
     target = vectors.where(F.col(key) == F.lit(seed)).select(F.col(vector).cast("array<double>").alias("_t")).limit(1)
-    return _nearest(vectors.where(F.col(key) != F.lit(seed)), target, key, vector, dim, limit)
+    return _nearest(vectors.where(F.col(key) != F.lit(seed)), target, key, vector, limit, fields)
 
 
 def _difference(positive: DataFrame, negative: DataFrame | None) -> DataFrame:
@@ -171,37 +189,40 @@ def _difference(positive: DataFrame, negative: DataFrame | None) -> DataFrame:
         return positive.select(F.col("_m").alias("_t"))
     both = positive.withColumn("_n", negative.scalar())
     minus = F.zip_with("_m", "_n", lambda p, n: p - F.coalesce(n, F.lit(0.0)))
-    return both.select(minus.alias("_t"))
+    return both.select(F.when(F.col("_n").isNull(), F.col("_m")).otherwise(minus).alias("_t"))
+
+
+def _among(column: str, ids: list) -> Column:
+    """Whether the column is one of ``ids``; a NULL is not."""
+    return F.coalesce(F.col(column).isin(list(ids)), F.lit(False))
 
 
 def recommend_from(vectors: DataFrame, key: str, positive: list, negative: list = (), limit: int = 100,
-                   vector: str = "embedding", dim: int = 64) -> DataFrame:
+                   vector: str = "embedding", fields: list[str] | None = None) -> DataFrame:
     """Papers ranked by cosine to the mean of the positives minus that of the negatives."""
     def mean(ids: list) -> DataFrame:
-        return vectors.where(F.col(key).isin(list(ids))).agg(mean_vector(vector, dim).alias("_m"))
+        return mean_vector(vectors.where(_among(key, ids)), [], vector, "_m")
 
     target = _difference(mean(positive), mean(negative) if negative else None)
-    others = vectors.where(~F.col(key).isin([*positive, *negative]))
-    return _nearest(others, target, key, vector, dim, limit)
+    return _nearest(vectors.where(~_among(key, [*positive, *negative])), target, key, vector, limit, fields)
 
 
 def recommend_for_author(vectors: DataFrame, key: str, author: str, positive: list, negative: list = (),
-                         limit: int = 100, vector: str = "embedding", dim: int = 64) -> DataFrame:
+                         limit: int = 100, vector: str = "embedding", fields: list[str] | None = None) -> DataFrame:
     """As ``recommend_from`` with authors: the mean of the authors' centroids counts, and the
-    authors' own papers are left out."""
+    authors' own papers are left out.  Papers without an author stay."""
     def mean(ids: list) -> DataFrame:
-        own = vectors.where(F.col(author).isin(list(ids)))
-        centroids = own.groupBy(author).agg(mean_vector(vector, dim).alias("_c"))
-        return centroids.agg(mean_vector("_c", dim).alias("_m"))
+        centroids = mean_vector(vectors.where(_among(author, ids)), [author], vector, "_c")
+        return mean_vector(centroids, [], "_c", "_m")
 
     target = _difference(mean(positive), mean(negative) if negative else None)
-    others = vectors.where(~F.col(author).isin([*positive, *negative]))
-    return _nearest(others, target, key, vector, dim, limit)
+    return _nearest(vectors.where(~_among(author, [*positive, *negative])), target, key, vector, limit, fields)
 
 
 def trending(citations: DataFrame, paper: str, date: str, days: int = 30, limit: int = 100) -> DataFrame:
     """Most cited papers of the last ``days`` days of the data, ties by id."""
-    first_day = citations.agg(F.date_sub(F.max(date).cast("date"), days).alias("d")).scalar()
-    recent = citations.where(F.col(date).cast("date") > first_day)
-    counted = recent.groupBy(paper).agg(F.count(F.lit(1)).alias("citations"))
+    newest = citations.agg(F.max(date).cast("date").alias("d"))
+    # The column itself is compared with the first moment after the day, so the scan can use the bound.
+    bound = newest.select(F.date_add("d", 1 - days).cast(dict(citations.dtypes)[date]).alias("d")).scalar()
+    counted = citations.where(F.col(date) >= bound).groupBy(paper).agg(F.count(F.lit(1)).alias("citations"))
     return counted.orderBy(F.desc("citations"), paper).limit(limit)

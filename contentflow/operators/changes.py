@@ -16,9 +16,16 @@ def merge_new_first(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return fresh.unionByName(existing.withColumn("batch", F.lit(1)), allowMissingColumns=True)
 
 
-def append_increment(existing: DataFrame, new: DataFrame, date: str = "date") -> DataFrame:
-    """Stored rows followed by the rows past the high-water mark (``batch`` 0 stored, 1 new)."""
-    fresh = after_high_water(new, existing, date).withColumn("batch", F.lit(1))
+def append_increment(existing: DataFrame, new: DataFrame, date: str = "date", key: str | None = None) -> DataFrame:
+    """Stored rows followed by the rows past the high-water mark (``batch`` 0 stored, 1 new).
+
+    With ``key``, rows whose key is stored are not appended again: undated rows pass the mark at every
+    run.
+    """
+    fresh = after_high_water(new, existing, date)
+    if key:
+        fresh = unseen(fresh, existing, key)
+    fresh = fresh.withColumn("batch", F.lit(1))
     return existing.withColumn("batch", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
 
 
@@ -45,17 +52,17 @@ def latest_changes(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 def apply_changes(target: DataFrame, changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     """The target after replaying upserts and deletes in order.
 
-    Per key only the last change counts and replaces the whole record.  ``changes`` has the target's
+    A missing key is a key like any other.  Per key only the last change counts and replaces the whole record.  ``changes`` has the target's
     columns plus ``seq`` and ``op``.
     """
     values = [c for c in target.columns if c != key]
     last = latest_changes(changes, key, seq).select(
         F.col(key).alias("_key"), "op", *[F.col(c).alias(f"_new_{c}") for c in values]
     )
-    merged = target.join(last, F.col(key) == F.col("_key"), "full_outer")
+    merged = target.withColumn("_old", F.lit(1)).join(last, F.col(key).eqNullSafe(F.col("_key")), "full_outer")
     replaced = F.col("op").isNotNull()
     return merged.where(~F.col("op").eqNullSafe(DELETE)).select(
-        F.coalesce("_key", key).alias(key),
+        F.when(F.col("_old").isNotNull(), F.col(key)).otherwise(F.col("_key")).alias(key),
         *[F.when(replaced, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in values],
     )
 
@@ -68,6 +75,6 @@ def delete_misses(target: DataFrame, changes: DataFrame, key: str, seq: str = "s
     """
     ops = changes.select(key, seq, (F.col("op") == DELETE).cast("int").alias("_del"))
     history = with_previous(ops, [key], seq, "_del", "_before").where("_del = 1")
-    known = target.select(key).distinct().withColumn("_known", F.lit(1))
+    known = target.select(F.col(key).alias("_k")).distinct().withColumn("_known", F.lit(1))
     absent = F.col("_before").isNull() & F.col("_known").isNull()
-    return history.join(known, key, "left").where((F.col("_before") == 1) | absent).select(seq, key)
+    return history.join(known, F.col(key).eqNullSafe(F.col("_k")), "left").where((F.col("_before") == 1) | absent).select(seq, key)

@@ -29,7 +29,7 @@ def with_previous(
 ) -> DataFrame:
     """Add ``value`` of the preceding row of the same key, NULL on the first.
 
-    ``value`` must not be NULL itself.
+    ``value`` must not be NULL itself; a missing key is a key like any other.
     """
     cut = with_bucket(df, seq, buckets)
     inside = W.partitionBy(*keys, "_bucket").orderBy(seq)
@@ -37,13 +37,16 @@ def with_previous(
     ends = (
         cut.groupBy(*keys, "_bucket")
         .agg(F.max_by(value, seq).alias("_last"))
-        .select(*keys, "_bucket", F.lag("_last").over(across).alias("_carried"))
+        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), F.lag("_last").over(across).alias("_carried"))
     )
+    same = F.col("_bucket") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return (
         cut.withColumn("_inside", F.lag(value).over(inside))
-        .join(ends, [*keys, "_bucket"])
+        .join(ends, same)
         .withColumn(name, F.coalesce("_inside", "_carried"))
-        .drop("_bucket", "_inside", "_carried")
+        .drop("_bucket", "_b", "_inside", "_carried", *[f"_k_{k}" for k in keys])
     )
 
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Staged folders of each application.
+_made: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "contentflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,14 +38,26 @@ def build_session(app: str = "contentflow", master: str | None = None, **conf: s
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder that the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset (tests,
-    a laptop) a local temporary folder takes its place.
+    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset and everything runs
+    in one process (tests, a laptop) a local temporary folder takes its place; on a cluster, whose
+    machines would not see each other's files, that is an error.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="contentflow-")
         spark.conf.set(CHECKPOINT_CONF, root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has staged; for after the results that read it have been written."""
+    for folder in _made.pop(spark.sparkContext.applicationId, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SPREAD_CONF = "contentflow.input.partitions"
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Hash a small scan over all cores.
 
-    A table of a few megabytes is one row group and hence one task, however many cores there are;
-    that hurts jobs that are all CPU, such as page extraction.  A table that already fills the
-    cores is returned as it is, so at scale this adds no shuffle.
+def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
+    """Hash a scan over ``partitions`` partitions, or leave it as it is.
+
+    For tables of a few megabytes, which are one row group and hence one task, before jobs that are all
+    CPU.  The caller decides; the size of the table does not.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores, key)
+    return df.repartition(partitions, key) if partitions else df

@@ -12,39 +12,17 @@ def read_release_lines(
     return spark.read.schema(schema).json(files)
 
 
-def newest_release_files(datasets: DataFrame, files: DataFrame) -> DataFrame:
-    """Datasets of the newest release beside their files, one row per file.
+def release_catalog(datasets: DataFrame, files: DataFrame) -> DataFrame:
+    """Datasets of the newest release beside their files: one row per (dataset, file) at any size.
 
-    ``datasets(release_id, name, description, readme)``, ``files(release_id, name, file)``.
-    Each dataset has one more row with a NULL file.
+    ``datasets(release_id, name, description, readme)``, ``files(release_id, name, file)``.  ``n_files`` counts
+    the files of the dataset; a dataset without files has one row with a NULL file.
     """
     newest = datasets.agg(F.max("release_id").alias("release_id")).scalar()
     current = datasets.where(F.col("release_id") == newest)
-    keys = ["release_id", "name"]
-    # Every dataset adds one NULL file, so none is lost in the join.  The files are the large side,
-    # and one dataset may hold most of them: on the left of an inner join it can be split.
-    none = current.select(*keys, F.lit(None).cast("string").alias("file"))
-    return files.select(*keys, "file").unionByName(none).join(current, keys)
-
-
-def release_catalog(datasets: DataFrame, files: DataFrame, files_per_row: int = 10_000) -> DataFrame:
-    """One row per dataset of the newest release with its sorted ``files`` list.
-
-    A dataset with more than ``files_per_row`` files is spread over several rows, numbered by
-    ``part``, so no list grows with the data.  The number of parts comes from a counted total and
-    a file's part from its hash; the parts together hold every file once.
-    """
-    keys = ["release_id", "name", "description", "readme"]
-    listed = newest_release_files(datasets, files)
-    totals = listed.groupBy("release_id", "name").agg(F.count("file").alias("n_files"))
-    parts = F.greatest(F.ceil(F.col("n_files") / files_per_row), F.lit(1))
-    counted = listed.join(totals, ["release_id", "name"]).where("file is not null or n_files = 0")
-    spread = counted.withColumn(
-        "part",
-        F.when(F.col("file").isNull(), 0).otherwise(F.pmod(F.xxhash64("file"), parts)).cast("int"),
-    )
-    # Named here, or the join's partitioning by dataset would be kept for the parts.
-    spread = spread.repartition("release_id", "name", "part")
-    return spread.groupBy(*keys, "n_files", "part").agg(
-        F.sort_array(F.collect_list("file")).alias("files")
-    )
+    listed = files.where((F.col("release_id") == newest) & F.col("file").isNotNull()).select("name", "file")
+    counted = listed.groupBy("name").agg(F.count(F.lit(1)).alias("n_files"))
+    known = current.join(counted, "name", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)).cast("long"))
+    # The files are the large side and one dataset may hold most of them: on the left of an inner join it can be split.
+    none = known.where("n_files = 0").select("name", F.lit(None).cast("string").alias("file"))
+    return listed.unionByName(none).join(known, "name").select("release_id", "name", "description", "readme", "n_files", "file")

@@ -33,7 +33,7 @@ def batch_details(t):
 @query(
     "search",
     r"""SELECT doc_id, source, CAST(score AS INTEGER) AS score FROM (
-  SELECT doc_id, source, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'),
+  SELECT doc_id, source, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'),
          lambda w: w IN ('the', 'and', 'ation', 'une'))) AS score FROM documents)
 WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50 OFFSET 20""",
 )
@@ -67,13 +67,25 @@ def autocomplete(t):
 
 @query(
     "bulk_page",
-    """SELECT o_orderkey, o_totalprice, max(o_orderkey) OVER () AS next_token
+    """SELECT o_orderkey, o_totalprice,
+  CASE WHEN (SELECT count(*) FROM orders WHERE o_orderkey > 700) > 500 THEN max(o_orderkey) OVER () END AS next_token
 FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 500)""",
 )
 def bulk_page(t):
     return K.bulk_page(t.orders, "o_orderkey", 700, 500, ["o_orderkey", "o_totalprice"])
 
 
+@query(
+    "bulk_page_of_query",
+    """WITH hits AS (SELECT p_partkey, p_retailprice FROM part
+  WHERE p_partkey > 20 AND list_has_all(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]+'), ['red', 'widget']))
+SELECT p_partkey, p_retailprice, CASE WHEN (SELECT count(*) FROM hits) > 10 THEN max(p_partkey) OVER () END AS next_token
+FROM (SELECT * FROM hits ORDER BY p_partkey LIMIT 10)""",
+)
+def bulk_page_of_query(t):
+    return K.bulk_page(t.part, "p_partkey", 20, 10, ["p_retailprice"], "p_name", "Widget-red")
+
+
 def _authorship(t):
     return t.orders.select(F.col("o_orderkey").alias("paper_id"), F.col("o_custkey").alias("c_custkey"))
 
@@ -180,7 +192,8 @@ def paper_tldr(t):
 
 _DIM = 64
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * g[i]))"
-_NORM = "sqrt(list_sum(list_transform(g, lambda x: x * x)))"
+_NORM = """(sqrt(list_sum(list_transform(g, lambda x: x * x)))
+  * sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"""
 
 
 def _mean(where: str) -> str:
@@ -209,7 +222,7 @@ def _minus(a: str, b: str) -> str:
     _nearest("(SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id = 3)", "vec_id <> 3", 20),
 )
 def recommend(t):
-    return K.recommend(t.embeddings, "vec_id", 3, 20, dim=_DIM)
+    return K.recommend(t.embeddings, "vec_id", 3, 20)
 
 
 @query(
@@ -217,7 +230,7 @@ def recommend(t):
     _nearest(_minus(_mean("vec_id IN (3, 14, 15)"), _mean("vec_id IN (9, 26)")), "vec_id NOT IN (3, 14, 15, 9, 26)", 20),
 )
 def recommend_from(t):
-    return K.recommend_from(t.embeddings, "vec_id", [3, 14, 15], [9, 26], 20, dim=_DIM)
+    return K.recommend_from(t.embeddings, "vec_id", [3, 14, 15], [9, 26], 20)
 
 
 @query(
@@ -225,7 +238,7 @@ def recommend_from(t):
     _nearest(_mean("vec_id IN (1, 2)"), "vec_id NOT IN (1, 2)", 15),
 )
 def recommend_from_positive(t):
-    return K.recommend_from(t.embeddings, "vec_id", [1, 2], limit=15, dim=_DIM)
+    return K.recommend_from(t.embeddings, "vec_id", [1, 2], limit=15)
 
 
 @query(
@@ -233,7 +246,7 @@ def recommend_from_positive(t):
     _nearest(_minus(_mean_of_authors("label IN (1, 2)"), _mean_of_authors("label IN (4)")), "label NOT IN (1, 2, 4)", 20),
 )
 def recommend_for_author(t):
-    return K.recommend_for_author(t.embeddings, "vec_id", "label", [1, 2], [4], 20, dim=_DIM)
+    return K.recommend_for_author(t.embeddings, "vec_id", "label", [1, 2], [4], 20)
 
 
 @query(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentflow.sources.layout import spread_small
+from contentflow.sources.layout import SPREAD_CONF, spread
 
 # Tables whose jobs are bound by CPU, with their key.
 TEXT_TABLES = {"pages": "page_id", "documents": "doc_id"}
@@ -23,7 +23,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self._folder}/{name}.parquet")
-        return spread_small(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+        wanted = self.spark.conf.get(SPREAD_CONF, None)
+        return spread(df, TEXT_TABLES[name], int(wanted) if wanted else None) if name in TEXT_TABLES else df
 
 
 def query(name: str, sql: str | None = None):

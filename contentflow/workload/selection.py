@@ -98,11 +98,12 @@ def after_high_water(t):
     "append_increment",
     f"""WITH {_DATED}, stored AS (SELECT * FROM dated WHERE date < '1997-06-01')
 SELECT o_orderkey, date, CAST(0 AS INTEGER) AS batch FROM stored UNION ALL
-SELECT o_orderkey, date, 1 FROM dated WHERE date = 'N/A' OR date > (SELECT max(date) FROM stored)""",
+SELECT o_orderkey, date, 1 FROM dated
+WHERE (date = 'N/A' OR date > (SELECT max(date) FROM stored)) AND o_orderkey NOT IN (SELECT o_orderkey FROM stored)""",
 )
 def append_increment(t):
     rows = _dated(t)
-    return C.append_increment(rows.where(F.col("date") < "1997-06-01"), rows)
+    return C.append_increment(rows.where(F.col("date") < "1997-06-01"), rows, key="o_orderkey")
 
 
 @query(

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from contentflow.operators import analytics, changes, cleaning, extraction, ordering, pages, selection, views
+from contentflow.operators import analytics, catalog, changes, cleaning, extraction, ordering, pages, selection, views
 from contentflow.schemas import POST, RESULT_KEYS
 from contentflow.sources import feeds, posts as store, releases
 
@@ -183,16 +183,36 @@ def test_store_round_trip_and_missing_path(spark, tmp_path):
     assert store.read_posts(spark, str(tmp_path / "a.json"), array_file=True).count() == 2
 
 
-def test_release_catalog_splits_a_hot_dataset(spark):
+def test_release_catalog_has_a_row_per_file(spark):
     datasets = spark.createDataFrame([("r1", "old"), ("r2", "hot"), ("r2", "one"), ("r2", "none")], "release_id string, name string")
     datasets = datasets.withColumn("description", F.lit("d")).withColumn("readme", F.lit("r"))
     names = [("r2", "hot", f"f{i:03}") for i in range(500)] + [("r2", "one", "x"), ("r1", "old", "o"), ("r1", "hot", "old-file")]
     files = spark.createDataFrame(names, "release_id string, name string, file string")
-    got = releases.release_catalog(datasets, files, files_per_row=50).collect()
-    hot = [r for r in got if r["name"] == "hot"]
-    assert len(hot) > 5 and max(len(r.files) for r in hot) < 120
-    assert sorted(f for r in hot for f in r.files) == [f"f{i:03}" for i in range(500)]
-    assert {r["name"]: (r.n_files, r.files) for r in got if r["name"] != "hot"} == {"one": (1, ["x"]), "none": (0, [])}
+    got = sorted((r["name"], r["n_files"], r["file"] or "") for r in releases.release_catalog(datasets, files).collect())
+    assert got == [("hot", 500, f"f{i:03}") for i in range(500)] + [("none", 0, ""), ("one", 1, "x")]
+
+
+def test_missing_keys_are_keys(spark):
+    target = spark.createDataFrame([(None, "a"), (1, "b")], "key long, payload string")
+    feed = spark.createDataFrame([(1, "upsert", None, "c"), (2, "delete", 1, None), (3, "delete", 1, None)], "seq long, op string, key long, payload string")
+    assert sorted(map(tuple, changes.apply_changes(target, feed, "key").collect()), key=repr) == [(None, "c")]
+    gone = spark.createDataFrame([(1, "delete", None, None), (2, "delete", None, None)], "seq long, op string, key long, payload string")
+    assert [tuple(r) for r in changes.delete_misses(target, gone, "key").collect()] == [(2, None)]
+
+
+def test_vectors_of_any_length(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [10.0, 10.0], None), (3, [0.0, 0.0], 2), (4, [2.0, 0.1], 2), (5, [1.0, 0.0, 0.0], 3)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, author long")
+    assert [tuple(r) for r in catalog.recommend(df, "id", 1).collect()] == [(4, 0.9988), (2, 0.7071)]
+    assert 2 in [r["id"] for r in catalog.recommend_for_author(df, "id", "author", [1]).collect()]
+    long = spark.createDataFrame([(i, [float(i == 1 or j == 127 and i == 2) for j in range(128)], i) for i in (1, 2, 3)], "id long, embedding array<double>, author long")
+    assert [tuple(r) for r in catalog.recommend(long, "id", 1, fields=["id", "author"]).collect()] == [(2, 2, 0.0884)]
+
+
+def test_last_page_has_no_token(spark):
+    df = spark.range(1, 6).withColumnRenamed("id", "key")
+    assert {r["next_token"] for r in catalog.bulk_page(df, "key", None, 5, []).collect()} == {None}
+    assert {r["next_token"] for r in catalog.bulk_page(df, "key", 1, 3).collect()} == {4}
 
 
 # --- chunks and responses --------------------------------------------------------------------

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from contentflow.workload import QUERIES
 
 NO_PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 STREAMS = {"stream_ingest", "stream_high_water", "stream_apply_changes"}
@@ -14,7 +15,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
 def test_no_python_and_no_product(spark, testdata, name):
     text = plan(entry.queries()[name](spark, testdata))
     assert not any(x in text for x in NO_PYTHON)

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from contentflow.workload import QUERIES, SQL
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -29,7 +30,7 @@ def plain(v):
     return v.isoformat() if isinstance(v, (datetime.date, datetime.datetime)) else v
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, testdata, name):
     sql = entry.oracle_sql()[name]
     df = entry.queries()[name](spark, testdata)
@@ -45,7 +46,8 @@ def test_query_matches_sql(spark, duck, testdata, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
