@@ -12,15 +12,19 @@ MISSING = "N/A"
 # costs an exception, and most text fits one look only.
 DATE_FORMATS = {
     "yyyy-MM-dd": r"^\d{4}-\d\d-\d\d$",
-    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$",
-    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$",
+    "yyyyMMdd": r"^\d{8}$",
     "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
     "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
     "MMMM d, yyyy": r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$",
     "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
     "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{3,9} \d{4}$",
     "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "MMM d yyyy": r"^[A-Za-z]{3} \d{1,2} \d{4}$",
+    "MMMM d yyyy": r"^[A-Za-z]{4,9} \d{1,2} \d{4}$",
 }
+# A time of day, with or without seconds, fractions and zone, and a day of the week before the date.
+_TIME = r"(?:[T ]\d\d:\d\d(?::\d\d(?:[.,]\d+)?)?)? ?(?:Z|[A-Z]{1,5}|[+-]\d\d:?\d\d)?$"
+_WEEKDAY = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? "
 
 
 def short_us_date(c: Column) -> Column:
@@ -35,7 +39,12 @@ def parse_us_date(c: Column) -> Column:
 
 
 def standardize_date(c: Column, formats: dict[str, str] = DATE_FORMATS) -> Column:
-    """Any date in a known format to ISO text, otherwise NULL."""
+    """Any date in a known format to ISO text, otherwise NULL.
+
+    The day is the one written; a time of day and a zone do not change it.
+    """
+    has_time = c.rlike(r"\d\d:\d\d")
+    c = F.regexp_replace(F.when(has_time, F.regexp_replace(c, _TIME, "")).otherwise(c), _WEEKDAY, "")
     tried = [F.when(c.rlike(look), F.try_to_date(c, f)) for f, look in formats.items()]
     short = F.when(c.rlike(r"^\d{1,2}/\d{1,2}/\d\d$"), short_us_date(c))
     return F.date_format(F.coalesce(*tried, short), "yyyy-MM-dd")

@@ -24,11 +24,13 @@ INVISIBLE = (
     r"|style\b[^>]*>.*?(?:</style\s*>|\z)"
     r"|!--.*?(?:-->|\z))"
 )
-TAG = r"<[/!?]?[A-Za-z][^>]*>"
+# Inside a tag: a quoted value, which may hold ">", follows a "="; a quote elsewhere is a character like any other.
+ATTRS = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+"""
+TAG = rf"<[/!?]?[A-Za-z]{ATTRS}>"
 # The elements whose text makes a paragraph of the body.
 BLOCK_TAGS = ["p", "h1", "h2", "h3", "h4", "ol", "ul"]
 _BLOCKS = "|".join(BLOCK_TAGS)
-BLOCK_OPEN = rf"(?i)<(?:{_BLOCKS})(?:\s[^>]*)?/?>"
+BLOCK_OPEN = rf"(?i)<(?:{_BLOCKS})(?:[\s/]{ATTRS})?>"
 BLOCK_CLOSE = rf"(?i)</(?:{_BLOCKS})\s*>"
 
 
@@ -188,8 +190,8 @@ def open_tag(tag: str, css_class: str | None = None, exact_class: str | None = N
     if exact_class is not None:
         return rf"""<{tag}\b[^>]*\bclass\s*=\s*["']{re.escape(exact_class)}["'][^>]*>"""
     if css_class is not None:
-        return rf"<{tag}\b[^>]*{_class_attr(css_class)}[^>]*>"
-    return rf"<{tag}(?:\s[^>]*)?>"
+        return rf"<{tag}\b[^>]*{_class_attr(css_class)}{ATTRS}>"
+    return rf"<{tag}(?:\s{ATTRS})?>"
 
 
 def first_inner(html: Column, opening: str, tag: str) -> Column:
@@ -254,7 +256,7 @@ def attr(tag: Column, name: str) -> Column:
 
 def tags(html: Column, name: str) -> Column:
     """All opening tags of one kind."""
-    return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}(?:\s[^>]*)?>"), F.lit(0))
+    return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}(?:\s{ATTRS})?>"), F.lit(0))
 
 
 def text_blocks(content: Column) -> Column:

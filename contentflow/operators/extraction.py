@@ -116,12 +116,14 @@ def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame
     """Replace the response text by one list column per result key.
 
     Text that is not JSON gives empty lists.  A single string counts as one element, unknown keys
-    are ignored.  The JSON may stand in a fenced block.
+    are ignored.  The JSON may stand in a fenced block.  Of a key that comes twice the last one counts;
+    Spark reads that from the session's ``spark.sql.variant.allowDuplicateKeys``, which is set here.
     """
+    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     c = F.col(column)
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     parsed = responses.withColumn(
-        "_v", F.try_parse_json(F.when(fenced != "", fenced).otherwise(c))
+        "_v", F.try_parse_json(F.when(fenced != "", fenced).otherwise(c))  # of a repeated key the last value counts
     ).drop(column)
     others = [x for x in parsed.columns if x != "_v"]
     return parsed.select(*others, *[F.expr(_VALUES.format(key=k)).alias(k) for k in RESULT_KEYS])

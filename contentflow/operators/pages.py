@@ -6,7 +6,7 @@ the cards with their pages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from contentflow.functions import markup, text
 from contentflow.functions.dates import MISSING, parse_us_date
@@ -100,6 +100,17 @@ def text_urls(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("urls", text.text_urls(c)).withColumn("cleaned", text.without_urls(c))
 
 
+def newest_fetch(pages: DataFrame, url: str = "url", html: str = "html", order: str | None = None) -> DataFrame:
+    """One row per URL: the last non-empty fetch by ``order``, without it the one with the most markup.
+
+    A ``row_number() = 1`` filter, pruned in every task before the shuffle.
+    """
+    empty = F.coalesce(F.length(html), F.lit(0)) == 0
+    last = [F.desc_nulls_last(order)] if order else []
+    w = W.partitionBy(url).orderBy(empty, *last, F.desc(F.length(html)), html)
+    return pages.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def page_content(pages: DataFrame, site: str, opening: str = CONTENT_WRAPPER, tag: str = "div") -> DataFrame:
     """The four list fields of a post for each page ``(url, html)``.
 
@@ -125,11 +136,13 @@ def page_content(pages: DataFrame, site: str, opening: str = CONTENT_WRAPPER, ta
 def assemble_posts(cards: DataFrame, content: DataFrame) -> DataFrame:
     """One post per card: cards joined with the content of their page by URL.
 
-    A page that could not be fetched leaves empty lists.
+    A page that could not be fetched leaves empty lists; of a URL with several contents the longest counts.
     """
     lists = ["body", "images", "tags", "references"]
     empty = F.array().cast("array<string>")
-    joined = cards.join(content.withColumnRenamed("url", "urlId"), "urlId", "left")
+    longest = W.partitionBy("url").orderBy(F.desc(F.size("body")), F.desc(F.length(F.array_join("body", ""))), F.to_json(F.struct(*lists)))
+    once = content.withColumn("_n", F.row_number().over(longest)).where("_n = 1").drop("_n")
+    joined = cards.join(once.withColumnRenamed("url", "urlId"), "urlId", "left")
     return joined.select(
         *cards.columns, *[F.coalesce(F.col(c), empty).alias(c) for c in lists]
     )

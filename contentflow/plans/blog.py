@@ -31,14 +31,18 @@ def refresh_store(
     listed = crawl_until_known(cards, stored)
     fresh = stage(unseen(listed, stored, "urlId").drop("page", "card_idx"), "new-posts")
     wanted = article_pages.join(fresh.select(F.col("urlId").alias("url")), "url", "left_semi")
-    posts = P.assemble_posts(fresh, P.page_content(wanted, site, opening, tag))
+    posts = P.assemble_posts(fresh, P.page_content(P.newest_fetch(wanted), site, opening, tag))
     return merge_new_first(posts, stored, "urlId")
 
 
 def open_requests(posts: DataFrame, extracted: DataFrame, key: str = "uuid", max_words: int = X.MAX_WORDS) -> DataFrame:
-    """Requests for the posts that are newer than everything extracted so far."""
-    done = extracted.select(F.col("Metadata.date").alias("date"))
-    return X.extraction_requests(X.chunk_text(after_high_water(posts, done), key, "body", max_words), key)
+    """Requests for the posts that are newer than everything extracted so far.
+
+    Undated posts pass the mark at every run, so posts that are extracted already are left out by key.
+    """
+    done = extracted.select(F.col("Metadata.date").alias("date"), F.col(f"Metadata.{key}").alias(key))
+    new = unseen(after_high_water(posts, done), done, key)
+    return X.extraction_requests(X.chunk_text(new, key, "body", max_words), key)
 
 
 def nested_records(posts: DataFrame, responses: DataFrame, key: str = "uuid", keep: list[str] = ()) -> DataFrame:

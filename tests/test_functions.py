@@ -200,3 +200,26 @@ def test_map_flatten_fill(spark):
     assert flat.columns == ["n", "s", "l", "r.q.t", "r.q.m"]
     filled = records.fill_missing(flat).orderBy("n").collect()[1].asDict()
     assert filled == {"n": 2, "s": "", "l": [], "r.q.t": "", "r.q.m": None}
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [('<p data-x="1>0">hi</p>', "hi"), ("<p title='a > b'>hi</p>", "hi"), ("<p title=it's>hi</p>", "hi"), ('<a title = "x>y" href="z">b</a>', "b")],
+)
+def test_values_may_hold_the_end_mark(one, html, want):
+    assert one(markup.html_text, html) == want
+
+
+def test_links_and_images_with_end_marks_in_values(one):
+    assert one(markup.image_sources, '<img alt="a > b" src="/x.png">') == ["/x.png"]
+    assert one(lambda c: markup.outbound_links(c, "https://s"), '<a title="a > b" href="https://o/">x</a>') == ["https://o/"]
+    assert one(markup.text_blocks, '<p title="a > b">hi</p>') == ["hi"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["2024-03-01T10:11:12Z", "2024-03-01T10:11:12.123", "2024-03-01T10:11:12+00:00", "2024-03-01 10:11", "Fri, 01 Mar 2024 10:11:12 GMT",
+     "20240301", "Mar 1 2024", "March 1 2024", "1 Mar 2024"],
+)
+def test_dates_with_times_and_zones(one, text):
+    assert one(dates.standardize_date, text) == "2024-03-01"

@@ -332,3 +332,11 @@ def test_rows_without_a_key_are_kept_and_merged_once(spark):
     new = posts.select("urlId").distinct()
     once = changes.merge_new_first(new, new.where("urlId = 'u'"), "urlId").drop("batch")
     assert changes.merge_new_first(new, once, "urlId").count() == once.count() == 2
+
+
+def test_repeated_json_keys_and_fetches(spark):
+    df = spark.createDataFrame([(1, '{"summary": ["a"], "summary": ["b"], "tldr": "t"}')], "id int, response string")
+    r = extraction.parse_responses(df).first()
+    assert r["summary"] == ["b"] and r["tldr"] == ["t"]
+    fetched = spark.createDataFrame([("u", "", 3), ("u", "<p>old</p>", 1), ("u", "<p>n</p>", 2), ("v", None, 1)], "url string, html string, at int")
+    assert sorted(map(tuple, pages.newest_fetch(fetched, order="at").select("url", "html").collect())) == [("u", "<p>n</p>"), ("v", None)]
