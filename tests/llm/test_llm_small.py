@@ -343,6 +343,14 @@ def test_passages(spark, nothing):
     assert passages.shared_passages(nothing).count() == 0
 
 
+def test_passages_behind_earlier_partial_copies(spark):
+    shared = prose(71, 51).split()
+    rows = [(1, " ".join(shared[:26]) + " " + prose(72, 60)), (2, prose(73, 60) + " " + " ".join(shared[26:]))]
+    rows += [(i, prose(70 + i, 30) + " " + " ".join(shared) + " " + prose(80 + i, 30)) for i in (4, 5)]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert [(r["doc_id"], r["other_id"], r["start"], r["end"], r["n_same"]) for r in got] == [(5, 4, 30, 81, 51)]
+
+
 def test_chains_take_the_best_order():
     x = np.array([0, 10, 20, 30, 12])
     y = np.array([0, 10, 20, 30, 300])
