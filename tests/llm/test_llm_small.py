@@ -351,6 +351,38 @@ def test_passages_behind_earlier_partial_copies(spark):
     assert [(r["doc_id"], r["other_id"], r["start"], r["end"], r["n_same"]) for r in got] == [(5, 4, 30, 81, 51)]
 
 
+def test_passages_with_many_changed_words():
+    r = np.random.default_rng(5)
+    new = lambda n: r.integers(0, 1 << 63, n).astype(np.uint64)
+
+    def found(n, agree):
+        first = new(n)
+        second = first.copy()
+        changed = 1 + r.choice(n - 2, round(n * (1 - agree)), False)  # both ends agree, so that the passage has n words
+        second[changed] = new(len(changed))
+        a, b = (np.concatenate([new(60), x, new(60)]) for x in (first, second))
+        text, pos, seed = passages.seeds_of(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        at = dict(zip(seed[text == 0].tolist(), pos[text == 0].tolist()))
+        x, y = np.array([(at[s], p) for s, p in zip(seed[text == 1].tolist(), pos[text == 1].tolist()) if s in at], int).reshape(-1, 2).T
+        return any(passages.passages_of(a, b, c[:, 0].tolist(), c[:, 1].tolist()) for c in passages.chains(x, y) if len(x))
+
+    share = {c: np.mean([found(*c) for _ in range(200)]) for c in ((60, 0.82), (50, 0.85), (50, 0.88), (80, 0.82))}
+    assert min(share.values()) >= 0.9, share
+    every_fifth = np.arange(5, 75, 5)
+    first = new(80)
+    second = first.copy()
+    second[every_fifth] = new(len(every_fifth))
+    assert passages.passages_of(first, second, [1], [1]) == [(0, 80, 0, 80, 66)]
+
+
+def test_a_passage_behind_a_changed_stretch():
+    first, second = np.arange(1, 96, dtype=np.uint64), np.arange(1, 96, dtype=np.uint64)
+    second[8:23] += 1000
+    match = np.array([0, 4, 23, 28, 40, 60])
+    best = passages.chains(match, match)[0]
+    assert passages.passages_of(first, second, best[:, 0].tolist(), best[:, 1].tolist()) == [(23, 95, 23, 95, 72)]
+
+
 def test_chains_take_the_best_order():
     x = np.array([0, 10, 20, 30, 12])
     y = np.array([0, 10, 20, 30, 300])
