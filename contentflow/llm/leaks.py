@@ -7,7 +7,8 @@ matrices of a row per slot reach the driver.  Every passage of every document is
 the right singular vectors and compared with the items' passages by cosine, in blocks of at most
 ``ITEMS`` items, so what a task holds does not grow with the benchmark.
 
-A candidate passage must have ``SHARED`` of its words, by weight, in common with the item.  It
+A candidate is looked at if the item and the place have ``REWORDED`` of the item's words in common in any
+order, without which they cannot have them in the same order.  It
 counts if the longest common subsequence of the item and the place has ``COPIED`` of the
 item's words, or ``REWORDED`` of them and ``ANSWERED`` of its answer: what follows its last question
 mark or, without one, its last sentence.
@@ -28,8 +29,8 @@ SLOTS = 1 << 16
 WIDTH = 24
 RANK, EXTRA, POWERS = 160, 16, 3
 ITEMS = 4096
-#: Least cosine in the latent space, and least share of the words of a passage (by weight) that the item has.
-COSINE, SHARED = 0.6, 0.35
+#: Least cosine in the latent space.
+COSINE = 0.55
 COPIED, REWORDED, ANSWERED = 0.75, 0.5, 0.8
 #: Words handled at a time.
 BLOCK = 1 << 15
@@ -186,15 +187,18 @@ def common_subsequence(item: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 class Items(NamedTuple):
-    """Items of a block: ids, words, first word of the answer, passages' unit rows, the item of each passage, items' terms and weights."""
+    """Items of a block: ids, words, first word of the answer, passages' unit rows, the item of each passage,
+    all different words, and the different words of each item (as places in those) with their numbers and borders."""
 
     id: list
     words: list
     answer: list
     unit: np.ndarray
     of: np.ndarray
-    terms: np.ndarray
-    weight: np.ndarray
+    vocabulary: np.ndarray
+    kind: np.ndarray
+    times: np.ndarray
+    at: np.ndarray
 
 
 def _answer_start(text: str, words: int) -> int:
@@ -214,19 +218,29 @@ def block_of(space: Space, rows: list[tuple[int, str]]) -> Items:
     words = [w.number[a:b] for a, b in zip(w.at[:-1], w.at[1:], strict=True)]
     answer = [_answer_start(t or "", len(x)) for (_, t), x in zip(rows, words, strict=True)]
     item = np.repeat(np.arange(len(rows)), np.diff(w.at))
-    weight = np.bincount(item, space.weight[space.place[_slot(w.number)]], len(rows))
-    return Items([i for i, _ in rows], words, answer, _unit(passages), of, np.unique(item * SLOTS + _slot(w.number)), weight)
+    vocabulary, kind = np.unique(w.number, return_inverse=True)
+    each, times = np.unique(item * (len(vocabulary) + 1) + kind, return_counts=True)
+    of_item, kind = np.divmod(each, len(vocabulary) + 1)
+    return Items([i for i, _ in rows], words, answer, _unit(passages), of, vocabulary, kind, times, np.searchsorted(of_item, np.arange(len(rows) + 1)))
+
+
+def _places(items: Items, number: np.ndarray) -> np.ndarray:
+    """The places of the items' words in the words ``number``, sorted by word, as ``word * (len(number) + 1) + place``."""
+    kind = np.minimum(np.searchsorted(items.vocabulary, number), len(items.vocabulary) - 1)
+    place = np.flatnonzero(items.vocabulary[kind] == number)
+    return np.sort(kind[place] * (len(number) + 1) + place)
 
 
-def _shared(space: Space, items: Items, slot: np.ndarray, first: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Share, by weight, of the words ``first:end`` that ``item`` has; of the item's weight where that is less."""
-    at = first[:, None] + np.arange(WIDTH)[None, :]
-    inside = at < end[:, None]
-    words = slot[np.minimum(at, len(slot) - 1)]
-    weight = space.weight[space.place[words]] * inside
-    key = item[:, None] * SLOTS + words
-    hit = items.terms[np.minimum(np.searchsorted(items.terms, key), len(items.terms) - 1)] == key
-    return (weight * hit).sum(axis=1) / np.maximum(np.minimum(weight.sum(axis=1), items.weight[item]), 1e-9)
+def _common(items: Items, places: np.ndarray, size: int, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many words each ``item`` and the words ``lo:hi`` of ``size`` words have in common, in any order."""
+    if not len(item):
+        return np.zeros(0, np.int64)
+    n = items.at[item + 1] - items.at[item]
+    border = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat(items.at[item] - border, n)
+    key = items.kind[at] * (size + 1)
+    there = np.searchsorted(places, key + np.repeat(hi, n)) - np.searchsorted(places, key + np.repeat(lo, n))
+    return np.add.reduceat(np.minimum(there, items.times[at]), border)
 
 
 FOUND = "array<struct<item_id:bigint,first:int,end:int,cosine:double,overlap:double,answer:double>>"
@@ -244,21 +258,26 @@ def search(space: Space, items: Items):
         w = tokens.words(text, separator=SEPARATOR)
         found: list[dict] = [{} for _ in range(len(text))]
         rows, start, of = _projected(w.number, np.diff(w.at), space.place, space.matrix)
-        slot = _slot(w.number)
-        end = w.at[of + 1] if len(of) else start
+        places = _places(items, w.number)
+        size = np.array([len(x) for x in items.words])
         for a in range(0, len(rows), 2048):
             near = _unit(rows[a : a + 2048]) @ items.unit.T
             p, q = np.nonzero(near >= COSINE)
             _, once = np.unique(p * len(items.id) + items.of[q], return_index=True)
             p, q = p[once], q[once]
-            share = _shared(space, items, slot, start[a + p], end[a + p], items.of[q])
-            for p, q in zip(p[share >= SHARED].tolist(), q[share >= SHARED].tolist(), strict=True):
+            item = items.of[q]
+            lo = np.maximum(w.at[of[a + p]], start[a + p] - size[item])
+            hi = np.minimum(w.at[of[a + p] + 1], start[a + p] + WIDTH + size[item])
+            enough = np.zeros(len(p), bool)
+            for i in range(0, len(p), BLOCK):
+                part = slice(i, i + BLOCK)
+                enough[part] = _common(items, places, len(w.number), item[part], lo[part], hi[part]) >= REWORDED * size[item[part]]
+            for p, q, lo, hi in zip(p[enough].tolist(), q[enough].tolist(), lo[enough].tolist(), hi[enough].tolist(), strict=True):
                 d, i = int(of[a + p]), int(items.of[q])
-                item, at = items.words[i], int(start[a + p])
+                item = items.words[i]
                 known = found[d].get(i)
                 if known and known["overlap"] > 0.95:
                     continue
-                lo, hi = max(int(w.at[d]), at - len(item)), min(int(w.at[d + 1]), at + WIDTH + len(item))
                 used = common_subsequence(item, w.number[lo:hi])
                 overlap, answer = float(used.mean()), float(used[items.answer[i] :].mean())
                 if overlap < COPIED and not (overlap >= REWORDED and answer >= ANSWERED):

@@ -317,6 +317,36 @@ def test_leaks(spark, docs, nothing):
     assert leaks.clean(docs, bench.limit(0)).count() == len(ROWS) and leaks.leaks(nothing, bench).count() == 0
 
 
+def test_half_reworded_items_at_any_size(spark):
+    r = random.Random(8)
+    items = [(i, prose(3000 + i, 40) + ". " + prose(4000 + i, 8) + ".") for i in range(30)]
+    rows = []
+    for i, text in items:
+        w = text.split()
+        for j in r.sample(range(40), 18):
+            w[j] = f"else{r.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for more in (100, 2000):
+        df = spark.createDataFrame(rows + [(1000 + i, f"filler {i}") for i in range(more)], "doc_id long, text string")
+        got = {(x["doc_id"], x["item_id"]) for x in leaks.leaks(df, bench).collect()}
+        assert len([1 for i, _ in items if (i, i) in got]) >= 29, (more, len(got))
+
+
+def test_common_words_against_counts():
+    r = np.random.default_rng(4)
+    items = [(i, " ".join(r.choice(WORDS, r.integers(3, 30)))) for i in range(5)]
+    words = [t.split() for _, t in items]
+    text = list(r.choice([*WORDS, "elsewhere"], 400))
+    number = tokens.words(pa.array([" ".join(text)]), separator=leaks.SEPARATOR).number
+    space = leaks.Space(np.full(leaks.SLOTS, -1, np.int64), np.zeros((1, 1), np.float32), np.ones(1))
+    block = leaks.block_of(space, items)
+    item, lo = r.integers(0, 5, 50), r.integers(0, 380, 50)
+    hi = np.minimum(lo + r.integers(1, 60, 50), 400)
+    want = [sum(min(words[i].count(x), text[a:b].count(x)) for x in set(words[i])) for i, a, b in zip(item, lo, hi)]
+    assert leaks._common(block, leaks._places(block, number), len(number), item, lo, hi).tolist() == want
+
+
 def test_common_subsequence_against_brute_force():
     r = random.Random(3)
     for _ in range(200):
