@@ -1,13 +1,13 @@
 """Personal data: fixed patterns as seeds, and a bootstrap over the words around them.
 
-Seeds are e-mail and IP addresses, card and phone numbers that pass their checks.  Every other word
-with a digit is a candidate.  An instance (the lower-cased string) and a pattern (the two words
+Seeds are e-mail and IP addresses, card and phone numbers that pass their checks.  Candidates are all other words
+with a digit, runs of short groups of digits (one candidate together), and addresses with "at" for the sign.  An instance (the lower-cased string) and a pattern (the two words
 before it, or the word before and the word after) are connected where they meet anywhere in the
 corpus.  Rounds of Spark joins score the graph: a pattern's confidence in a kind is the sum of the
 scores of its instances of that kind over the number of all its instances, plus one; a candidate's
 score for a kind is the chance that not all patterns it comes with are wrong.  Patterns need
-``SUPPORT`` and ``CONFIDENCE``, candidates ``ACCEPT`` and a shape (digits and runs of letters) that
-at least ``SHAPE`` of the kind's seeds have.
+``SUPPORT`` and ``CONFIDENCE``, candidates ``ACCEPT`` and to be a possible string of the kind (``PLAUSIBLE``), which says
+how many digits there are but not how they are parted; the context decides.
 
 Places of matches come from splitting the text by the pattern and extracting its matches: the
 lengths of pieces and matches add up to positions.
@@ -31,8 +31,21 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _GAP = r"\x20\x09-\x0D"
-CANDIDATE = rf"(?<![^{_GAP}])(?=[^{_GAP}0-9]*+[0-9])[^{_GAP}]++"
-ROUNDS, SUPPORT, CONFIDENCE, ACCEPT, SHAPE = 3, 3, 0.6, 0.6, 0.01
+_GROUP = r"[+(]{0,2}[0-9]{1,6}+\)?(?:-[0-9]{1,6}+)*+"
+_RUN = rf"(?<![^{_GAP}]){_GROUP}(?:[{_GAP}]{_GROUP}){{1,5}}+(?![^{_GAP}.,;:!?])"
+_AT, _DOT = (rf"[{_GAP}]*[(\[{{<_-]*(?<![A-Za-z0-9])(?i:{w})(?![A-Za-z0-9])[)\]}}>_-]*[{_GAP}]*" for w in ("at", "dot"))
+_SPELLED = rf"(?<![^{_GAP}])[A-Za-z0-9._%+-]{{1,64}}?{_AT}[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)++"
+_WORD = rf"(?<![^{_GAP}])(?=[^{_GAP}0-9]*+[0-9])[^{_GAP}]++"
+CANDIDATE = f"{_RUN}|{_SPELLED}|{_WORD}"
+#: Conditions on ``instance`` (lower-case).
+_DIGITS, _NUMBER = "length(regexp_replace(instance, '[^0-9]', ''))", "instance RLIKE '^[-+0-9().,:/_ ]+$'"
+PLAUSIBLE = {
+    "email": "instance RLIKE '[a-z0-9].*(@|(?<![a-z0-9])at(?![a-z0-9])).*[a-z0-9].*([.]|(?<![a-z0-9])dot(?![a-z0-9])).*[a-z]'",
+    "ip": f"{_NUMBER} AND {_DIGITS} BETWEEN 4 AND 12 AND instance RLIKE '^([0-9]+[^0-9]+){{3}}[0-9]+$'",
+    "card": f"{_NUMBER} AND {_DIGITS} BETWEEN 12 AND 19",
+    "phone": f"{_NUMBER} AND {_DIGITS} BETWEEN 7 AND 15",
+}
+ROUNDS, SUPPORT, CONFIDENCE, ACCEPT = 3, 3, 0.6, 0.6
 _SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string,left:string,right:string>>"
 
 
@@ -102,17 +115,10 @@ def _edges(spans: DataFrame) -> DataFrame:
     return spans.select(pattern.alias("pattern"), F.lower("value").alias("instance"), "kind").distinct()
 
 
-def _shape(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, "[0-9]", "9"), r"[A-Za-z\u0080-\x{10FFFF}]+", "a")
-
-
 def discovered(spans: DataFrame) -> DataFrame:
     """``instance, kind, score`` of the candidates that the bootstrap accepts, from rows ``kind, value, left, right``."""
     edges = stage(_edges(spans), "edges")
-    seeds = spans.where("kind IS NOT NULL").select(F.lower("value").alias("instance"), "kind").distinct()
-    shapes = seeds.groupBy("kind", _shape(F.col("instance")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
-    of_kind = seeds.groupBy(F.col("kind").alias("k")).agg(F.count(F.lit(1)).alias("all"))
-    shapes = shapes.join(of_kind, F.col("kind") == F.col("k")).where(F.col("n") >= F.col("all") * SHAPE).select("kind", "shape")
+    plausible = F.expr("CASE kind " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in PLAUSIBLE.items()) + " END")
     known = edges.where("kind IS NOT NULL").select("pattern", "instance", "kind", F.lit(1.0).alias("score"))
     open_ = edges.where("kind IS NULL").select("pattern", "instance")
     size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
@@ -124,7 +130,7 @@ def discovered(spans: DataFrame) -> DataFrame:
         sure = sure.where(F.col("confidence") >= CONFIDENCE)
         met = open_.join(sure, "pattern").groupBy("instance", "kind")
         score = met.agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score")).where(F.col("score") >= ACCEPT)
-        score = score.join(shapes.withColumnRenamed("kind", "k"), (_shape(F.col("instance")) == F.col("shape")) & (F.col("kind") == F.col("k")))
+        score = score.where(plausible)
         best = score.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b"))
         found = stage(best.select("instance", "b.kind", "b.score"), "found")
         known = known.where("score = 1.0").unionByName(open_.join(found, "instance").select("pattern", "instance", "kind", "score"))
@@ -147,8 +153,8 @@ def annotated(docs: DataFrame, keep: list[str]) -> DataFrame:
     df = df.select("row", "text", F.array_sort(F.expr(f"concat({', '.join(checked)})")).alias("base"))
     masked = _rewritten("text", "base", "repeat('x', x.end - greatest(s.at, x.start))")
     df = df.select("row", "base", masked.alias("masked"))
-    df = _matched(df, "masked", CANDIDATE, "candidate", F.col("masked").rlike("[0-9]"))
-    lead, core = "length(regexp_extract(x.value, '^[^A-Za-z0-9]*', 0))", "regexp_replace(x.value, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '')"
+    df = _matched(df, "masked", CANDIDATE, "candidate", F.col("masked").rlike(rf"[0-9]|{_AT}"))
+    lead, core = "length(regexp_extract(x.value, '^[^A-Za-z0-9+]*', 0))", "regexp_replace(x.value, '^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$', '')"
     trimmed = F.expr(f"transform(candidate, x -> named_struct('start', x.start + {lead}, 'value', {core}, 'left', x.left, 'right', x.right))")
     df = df.select("row", "base", trimmed.alias("open"), F.monotonically_increasing_id().alias("uid"))
     # Written once: the running numbers have to stay as they are.

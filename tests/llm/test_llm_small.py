@@ -219,6 +219,19 @@ def test_bootstrap_finds_what_the_patterns_miss(spark):
     assert got[90] == [("card", 16, 32)] and got[91] == [] and got[92] == []
 
 
+def test_bootstrap_finds_other_forms(spark):
+    rows = [(i, f"{prose(i, 9)} please call {p} {prose(i + 50, 9)}") for i, p in enumerate(f"+1 212 555 01{k}0" for k in range(10, 16))]
+    rows += [(10 + i, f"{prose(i, 9)} write to {m} {prose(i + 50, 9)}") for i, m in enumerate(f"a{k}.b@c.org" for k in range(6))]
+    rows += [(20 + i, f"{prose(i, 9)} pay with {c} {prose(i + 50, 9)}") for i, c in enumerate(["4111111111111111", "5500005555555559", "4012888888881881", "6011000990139424"])]
+    odd = {90: ("please call", "212-555-0199", "phone"), 91: ("write to", "jane.doe at example dot org", "email"), 92: ("pay with", "4111 1111 1111 1112", "card")}
+    rows += [(k, f"{before} {x}, they said") for k, (before, x, _) in odd.items()]
+    rows += [(93, "we looked at 212-555-0199x and jane at home dot com"), (94, "room 12 34 at noon")]
+    got = {r["row"]["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["more"]] for r in personal.annotated(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    for k, (before, x, kind) in odd.items():
+        assert got[k] == [(kind, len(before) + 1, len(before) + 1 + len(x))], (k, got[k])
+    assert got[93] == [] and got[94] == []
+
+
 def test_redaction(docs, nothing):
     out = personal.redacted(docs)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
