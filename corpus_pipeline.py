@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-#: Latent retrieval and BPE cannot be said in SQL; tests/llm compares the stages with brute force.
+#: Latent retrieval and BPE cannot be said in SQL; tests/llm checks columns and counts of the pipeline, and the operators on small tables.
 ORACLE_SQL = None
 
 
