@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentflow.llm import bpe, chat, dedup, hmm, language, leaks, passages, personal, quality, toxicity
+from contentflow.llm import bpe, centroids, chat, dedup, divergence, hmm, jaccard, language, leaks, passages, personal, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": leaks.op1_decontaminate,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_hmm": hmm.op9_hmm,
     "op10_passages": passages.op10_passages,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_jaccard": jaccard.op12_jaccard,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 SQL: dict[str, str] = {
     "op6_chat": chat.SQL,
     "op7_minhash": dedup.SQL,
     "op8_quality": quality.SQL,
+    "op11_divergence": divergence.SQL,
+    "op12_jaccard": jaccard.SQL,
+    "op13_centroids": centroids.SQL,
 }

@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from contentflow.llm.queries import QUERIES, SQL
 
-TABLES = "documents benchmark labels conversations".split()
+TABLES = "documents benchmark labels conversations embeddings".split()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
