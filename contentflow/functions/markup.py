@@ -13,7 +13,7 @@ from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
-from contentflow.functions.binding import let
+from contentflow.functions.binding import let, scan
 from contentflow.functions.text import NOT_PLAIN, squeeze, strip
 
 REPLACEMENT = chr(0xFFFD)
@@ -181,24 +181,127 @@ def normalize_text(c: Column) -> Column:
 
 # --- elements --------------------------------------------------------------------------------
 
-def _class_attr(css_class: str) -> str:
-    return rf"""\bclass\s*=\s*["']?(?:[^"'>]*\s)?{re.escape(css_class)}(?=[\s"'>])"""
+# One attribute of a tag: a name, and a value after "=", which may be quoted.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+_PAIR = rf"""[^\s=/>][^\s=/>]*+(?:\s*+=\s*+{_VALUE}?+)?+"""
+
+
+def _class_pair(token: str) -> str:
+    """A class attribute that has the token among others."""
+    t = re.escape(token)
+    return rf"""class\s*+=\s*+(?:"(?:[^"]*\s)?{t}(?=[\s"])[^"]*+"|'(?:[^']*\s)?{t}(?=[\s'])[^']*+'|{t}(?=[\s>]))"""
 
 
 def open_tag(tag: str, css_class: str | None = None, exact_class: str | None = None) -> str:
-    """Pattern of an opening tag, by class token or by the whole class attribute."""
+    """Pattern of an opening tag, by class token or by the whole class attribute.
+
+    Attributes are walked from the left, so neither a ``>`` nor a ``class=`` inside a quoted value misleads it.
+    """
+    before = rf"<{tag}(?:[\s/]++(?!class[\s=/>]){_PAIR})*+[\s/]++"
     if exact_class is not None:
-        return rf"""<{tag}\b[^>]*\bclass\s*=\s*["']{re.escape(exact_class)}["'][^>]*>"""
+        return rf"""{before}class\s*+=\s*+(?:"{re.escape(exact_class)}"|'{re.escape(exact_class)}'){ATTRS}>"""
     if css_class is not None:
-        return rf"<{tag}\b[^>]*{_class_attr(css_class)}{ATTRS}>"
+        return rf"{before}{_class_pair(css_class)}{ATTRS}>"
     return rf"<{tag}(?:\s{ATTRS})?>"
 
 
-def first_inner(html: Column, opening: str, tag: str) -> Column:
-    """Inner markup of the first matching element that holds no element of its own kind;
-    NULL without a match.  An unclosed element reaches to the end."""
-    found = F.regexp_extract_all(html, F.lit(rf"(?is){opening}(.*?)(?:</{tag}\s*>|\z)"), F.lit(1))
-    return F.try_element_at(found, F.lit(1))
+# Elements that have no content and no closing tag.
+VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
+
+
+def _depths(entries: Column) -> Column:
+    """The number of open elements behind each tag.
+
+    A closing tag closes the nearest open element of its name with all that is open inside, or nothing.  The
+    state is the names of the open elements, innermost first.
+    """
+
+    def step(stack: Column, e: Column) -> Column:
+        return (
+            F.when(e["change"] == 1, F.concat(F.array(e["name"]), stack))
+            .when(e["change"] == -1, F.slice(stack, (F.array_position(stack, e["name"]) + 1).cast("int"), F.size(stack)))
+            .otherwise(stack)
+        )
+
+    return scan(entries, F.array().cast("array<string>"), step, F.size, "int")
+
+
+def outline(html: Column) -> Column:
+    """The tags of the markup in order: ``name, change, tag, text, depth``.
+
+    ``change`` is 1 for a tag that opens an element, -1 for a closing tag and 0 for one that does neither; ``text`` reaches up
+    to the next tag; ``depth`` counts the elements open behind the tag.  One pass over the markup, after which every
+    element is a slice (see ``elements``).
+    """
+    marked = F.regexp_replace(F.translate(mark_invisible(html), OPEN + CLOSE, ""), f"({TAG})", f"{OPEN}$1{CLOSE}")
+    # What comes before the first tag belongs to no element.
+    pieces = let(F.split(marked, OPEN), lambda x: F.slice(x, F.lit(2), F.size(x)))
+
+    def entry(x: Column) -> Column:
+        tag = F.get(x, F.lit(0))
+        return let(
+            F.lower(F.regexp_extract(tag, r"^</?([A-Za-z][^\s/>]*)", 1)),
+            lambda name: F.struct(
+                name.alias("name"),
+                F.when(tag.startswith("</"), -1)
+                .when((name == "") | tag.endswith("/>") | name.isin(VOID_TAGS), 0)
+                .otherwise(1)
+                .alias("change"),
+                tag.alias("tag"),
+                F.get(x, F.lit(1)).alias("text"),
+            ),
+        )
+
+    def deep(entries: Column) -> Column:
+        return let(
+            _depths(entries),
+            lambda d: F.transform(
+                entries,
+                lambda e, i: F.struct(e["name"].alias("name"), e["change"].alias("change"), e["tag"].alias("tag"),
+                                      e["text"].alias("text"), F.get(d, i).alias("depth")),
+            ),
+        )
+
+    return let(F.transform(pieces, lambda p: let(F.split(p, CLOSE), entry)), deep)
+
+
+def has_class(tag: Column, token: str) -> Column:
+    return F.concat(F.lit(" "), F.regexp_replace(raw_attr(tag, "class"), r"\s+", " "), F.lit(" ")).contains(f" {token} ")
+
+
+def _starts(o: Column, name: str, css_class: str | None) -> Column:
+    """Positions of the opening tags of the matching elements."""
+
+    def here(e: Column, i: Column) -> Column:
+        of_kind = (e["change"] == 1) & (e["name"] == name)
+        return F.when(of_kind & has_class(e["tag"], css_class) if css_class else of_kind, i)
+
+    return F.array_compact(F.transform(o, here))
+
+
+def _element(o: Column, i: Column) -> Column:
+    """The entries of the element that opens at ``i``; unclosed ones end with the element around them."""
+    depth = F.get(o, i)["depth"]
+    # Most elements hold no other one: then the next tag closes them.
+    behind = F.when(F.get(o, i + 1)["depth"] < depth, i + 1).otherwise(
+        F.array_min(F.filter(F.sequence(i + 1, F.greatest(F.size(o) - 1, i + 1)), lambda j: F.get(o, j)["depth"] < depth))
+    )
+    return F.slice(o, i + 1, F.coalesce(behind, F.size(o)) - i)
+
+
+def elements(o: Column, name: str, css_class: str | None = None) -> Column:
+    """The matching elements of an outline, nested ones as well: of each its own tag and all tags inside."""
+    return F.transform(_starts(o, name, css_class), lambda i: _element(o, i))
+
+
+def first_element(o: Column, name: str, css_class: str | None = None) -> Column:
+    """The first matching element of an outline; NULL without one."""
+    return let(F.get(_starts(o, name, css_class), F.lit(0)), lambda i: F.when(i.isNotNull(), _element(o, i)))
+
+
+def marked_text(element: Column) -> Column:
+    """Text of an element as written, its text nodes parted by marks."""
+    return F.array_join(F.transform(element, lambda e: e["text"]), MARK)
 
 
 def wrapper_inner(html: Column, opening: str, tag: str) -> Column:
@@ -234,13 +337,19 @@ def wrapper_inner(html: Column, opening: str, tag: str) -> Column:
     return let(rest, inner)
 
 
+def _walk(name: str) -> str:
+    """Pattern of a tag up to the end of its attributes; the group holds the value of the last one called ``name``."""
+    return rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]++(?:{name}(?![^\s=/>])(?:\s*+=\s*+({_VALUE})?+)?+|{_PAIR}))*+"
+
+
 def has_attr(tag: Column, name: str) -> Column:
-    return tag.rlike(rf"(?is)\s{name}\s*=")
+    """Whether an opening tag has the attribute, with or without a value."""
+    return tag.rlike(rf"(?is)^<[a-z][^\s/>]*+(?:[\s/]++(?!{name}[\s=/>]){_PAIR})*+[\s/]++{name}[\s=/>]")
 
 
 def raw_attr(tag: Column, name: str) -> Column:
     """Attribute value of an opening tag as written; '' when absent."""
-    value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    value = F.regexp_extract(tag, _walk(name), 1)
 
     def unquoted(v: Column) -> Column:
         is_quoted = v.startswith('"') | v.startswith("'")
@@ -281,10 +390,9 @@ def image_sources(content: Column) -> Column:
 def tag_labels(html: Column) -> Column:
     """Labels of the tag links inside the tag box; without a box an empty array."""
     opening = open_tag("div", exact_class="blog-meta-item blog-meta-item--tags")
-    box = first_inner(mark_invisible(html), opening, "div")
-    anchor = open_tag("a", css_class="blog-item-tag")
-    inner = F.regexp_extract_all(box, F.lit(rf"(?is){anchor}(.*?)(?:</a\s*>|\z)"), F.lit(1))
-    return F.coalesce(F.transform(inner, lambda x: html_text(x, "")), F.array().cast("array<string>"))
+    box = outline(wrapper_inner(mark_invisible(html), opening, "div"))
+    labels = let(box, lambda o: F.transform(elements(o, "a", "blog-item-tag"), lambda a: _nodes(marked_text(a), "")))
+    return F.coalesce(labels, F.array().cast("array<string>"))
 
 
 def outbound_links(content: Column, site: str) -> Column:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from contentflow.functions.text import KEYWORD_STOP_WORDS, candidate_words, keep_keywords
+from contentflow.functions.binding import let, scan
+from contentflow.functions.text import KEYWORD_STOP_WORDS, candidate_words, keep_keywords, squeeze
 
 KEYWORDS = 10  # fixed value: keywords per post
 SUMMARY_WORDS = 5  # fixed value: words per summary
@@ -59,27 +60,84 @@ def keyword_summary(df: DataFrame, key: str, text: str, n: int = SUMMARY_WORDS)
     return keyword_lists(df, key, text, n).select(key, F.array_join("keywords", " ").alias("summary"))
 
 
+# A word, and a word with what follows it up to the next one.
+_TERM_WORD = r"[\p{L}\p{N}_]+"
+_TERM_PIECE = r"(?s)[\p{L}\p{N}_]+[^\p{L}\p{N}_]*"
+
+
+def _grams(text: Column, lengths: Column) -> Column:
+    """Every run of words of one of the ``lengths``: ``pos, n, word``, with what stands between its words as written."""
+
+    def cut(x: Column) -> Column:
+        words, pieces = x["words"], x["pieces"]
+
+        def gram(i: Column, n: Column) -> Column:
+            before = F.array_join(F.slice(pieces, i + 1, n - 1), "")
+            whole = F.when(n == 1, F.get(words, i)).otherwise(squeeze(F.concat(before, F.get(words, i + n - 1))))
+            return F.struct(i.alias("pos"), n.alias("n"), whole.alias("word"))
+
+        fitting = lambda i: F.filter(lengths, lambda n: i + n <= F.size(words))
+        return F.flatten(F.transform(words, lambda _, i: F.transform(fitting(i), lambda n: gram(i, n))))
+
+    both = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (_TERM_WORD, _TERM_PIECE)]
+    return let(F.struct(both[0].alias("words"), both[1].alias("pieces")), cut)
+
+
+def _phrases(gazetteer: DataFrame) -> DataFrame:
+    """``term, n, entity_group``: terms as their words stand in a text, in lower case; one row each."""
+    whole = F.regexp_extract(F.lower("term"), rf"(?s){_TERM_WORD}(?:.*{_TERM_WORD})?", 0)
+    normal = gazetteer.select(squeeze(whole).alias("term"), "entity_group").where("term <> ''")
+    counted = normal.withColumn("n", F.regexp_count("term", F.lit(_TERM_WORD)))
+    return counted.groupBy("term", "n").agg(F.min("entity_group").alias("entity_group"))
+
+
+def _longest_first(hits: Column) -> Column:
+    """Of overlapping hits the leftmost one, of those that begin together the longest; the others go."""
+
+    def step(state: Column, h: Column) -> Column:
+        free = h["pos"] >= state["end"]
+        return F.struct(F.when(free, h["pos"] + h["n"]).otherwise(state["end"]).alias("end"), free.alias("kept"))
+
+    # Sorted by place, then the longest first.
+    ordered = F.array_sort(hits, lambda a, b: F.when(a["pos"] != b["pos"], a["pos"] - b["pos"]).otherwise(b["n"] - a["n"]))
+    start = F.struct(F.lit(0).alias("end"), F.lit(False).alias("kept"))
+
+    def chosen(xs: Column) -> Column:
+        return let(scan(xs, start, step, lambda s: s["kept"], "boolean"), lambda keep: F.filter(xs, lambda _, i: F.get(keep, i)))
+
+    return let(ordered, chosen)
+
+
+def _found_terms(df: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, found)``: the terms of each text that has any, in order.
+
+    Runs of words meet the gazetteer by the lengths that it has, in one join; only hits are grouped
+    again, and those of a text came out of one row.
+    """
+    terms = _phrases(gazetteer)
+    lengths = terms.agg(F.sort_array(F.collect_set("n"))).scalar()
+    texts = df.select(key, F.col(text).alias("_text"), lengths.alias("_lengths"))
+    grams = texts.select(key, F.explode(_grams(F.col("_text"), F.col("_lengths"))).alias("g")).select(key, "g.*")
+    hits = grams.join(terms.drop("n"), F.lower("word") == F.col("term"))
+    found = hits.groupBy(key).agg(F.collect_list(F.struct("pos", "n", "word", "entity_group")).alias("found"))
+    return found.select(key, _longest_first(F.col("found")).alias("found"))
+
+
 def tag_entities(df: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
     """Gazetteer terms found in the text: ``(key, pos, word, entity_group)``, repeats kept.
 
-    ``gazetteer(term, entity_group)`` holds lower-case terms, each once.
+    ``gazetteer(term, entity_group)`` holds terms of one or several words in any case; white space between words counts as
+    one blank, other characters as they are.  ``pos`` counts words.  Of overlapping terms the leftmost counts, of those that begin
+    at one word the longest.  A term with several groups has the first of them.
     """
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    tokens = df.select(key, F.posexplode(words).alias("pos", "word"))
-    return tokens.join(gazetteer, F.lower("word") == F.col("term")).select(
-        key, "pos", "word", "entity_group"
-    )
+    found = _found_terms(df, gazetteer, key, text).select(key, F.explode("found").alias("f"))
+    return found.select(key, "f.pos", "f.word", "f.entity_group")
 
 
 def entity_lists(df: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, entities)`` with the pairs of each document in text order, [] without any.
-
-    The group is the tokens of one document, which came out of one row.
-    """
-    found = tag_entities(df, gazetteer, key, text).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "word", "entity_group"))).alias("_found")
-    )
-    pairs = F.transform("_found", lambda x: F.struct(x["word"], x["entity_group"]))
+    """``(key, entities)`` with the pairs of each document in text order, [] without any."""
+    found = _found_terms(df, gazetteer, key, text)
+    pairs = F.transform("found", lambda x: F.struct(x["word"], x["entity_group"]))
     empty = F.array().cast("array<struct<word:string,entity_group:string>>")
     return df.select(key).join(found, key, "left").select(key, F.coalesce(pairs, empty).alias("entities"))
 

@@ -33,14 +33,13 @@ def linearize(changes: DataFrame) -> DataFrame:
     """Give the rows of a diff set their replay order as one number, ``seq``.
 
     Diffs come in order; inside a diff all update files precede all delete files; inside a phase
-    files and lines count.  The number is as dense as the file sizes allow, which keeps the ranges of
-    the order-dependent operators even.
+    files and lines count.  The number has gaps where files are shorter than the longest one.
     """
-    files = changes.agg((F.max("file_idx").cast("long") + 1).alias("n")).scalar()
-    lines = changes.agg((F.max("line_idx").cast("long") + 1).alias("n")).scalar()
+    size = lambda c: (F.max(c).cast("long") + 1).alias(c)
+    most = changes.agg(F.struct(size("file_idx"), size("line_idx"))).scalar()
     phase = F.when(F.col("op") == DELETE, 1).otherwise(0)
-    file = (F.col("diff_idx") * 2 + phase) * files + F.col("file_idx")
-    return changes.withColumn("seq", file * lines + F.col("line_idx"))
+    file = (F.col("diff_idx") * 2 + phase) * most["file_idx"] + F.col("file_idx")
+    return changes.withColumn("seq", file * most["line_idx"] + F.col("line_idx"))
 
 
 def latest_changes(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:

@@ -10,44 +10,47 @@ from contentflow.schemas import MEDICAL_LISTS, METADATA_LISTS, RESEARCH_LISTS, R
 MAX_WORDS = 128_000  # fixed value: chunk size in words
 SENTENCE_SEP = ". "
 
-# What is asked for, per result key.
-INSTRUCTIONS = {
-    "summary": "extract summary from the text without using jargon or technical terms",
-    "tldr": "create a brief one-sentence tldr from the text without using jargon or technical terms",
-    "keywords": "extract keywords from the text",
-    "synonyms_acronyms": "extract synonyms and acronyms for key terms from the text",
-    "entities": "extract all entities from the text",
-    "locations": "extract locations from the text",
-    "diseases": "extract diseases from the text",
-    "variants": "extract variants from the text",
-    "genetic_information": "extract genetic information from the text",
-    "symptoms": "extract symptoms from the text",
-    "medications": "extract medications from the text",
-    "treatments": "extract treatments from the text",
-    "medical_tests": "extract medical tests from the text",
-    "diagnoses": "extract diagnoses from the text",
-    "causes": "extract causes from the text",
-    "key_findings": "extract key findings from the text",
-    "causal_relationships": "extract causal relationships and dependencies between concepts from the text",
-    "scientific_facts": "extract implicit or explicit scientific facts derived from the text",
-    "practical_implications": "extract implicit and explicit practical implications from the text",
-    "policy_recommendations": "extract implicit and explicit policy recommendations from the text",
-}
-LIST_NOTE = "output them as a Python list, if not available return []"
-OPENING = "Ignore all previous instructions. Now for the following text, extract the following information:"
-CLOSING = "Format the output as a JSON with the following keys:"
+# What an answer should hold, by result key; the keys themselves are fixed values.
+ASKED = dict(
+    zip(
+        RESULT_KEYS,
+        """A short account in plain words.
+The same in a single plain sentence.
+Words a reader would search for.
+Abbreviations and other names of the main terms.
+People, organisations and products named.
+Places named.
+Illnesses and conditions named.
+Variants of genes or proteins.
+Genes, their products and how they are inherited.
+Signs and complaints described.
+Drugs named.
+Therapies and procedures described.
+Tests and examinations described.
+Findings that a clinician settled on.
+What brought a condition about.
+The main results.
+What depends on or leads to what.
+Statements of fact that the passage makes or relies on.
+What follows for practice.
+What policy makers are advised to do.""".split("\n"),
+    )
+)
 
 
 def request_head() -> str:
     """The fixed part of a request, everything before the chunk."""
-    asked = [f"{key}: {what}\n{LIST_NOTE}\n" for key, what in INSTRUCTIONS.items()]
-    return "\n".join(["", OPENING, "", *asked, CLOSING, *INSTRUCTIONS, "", "text: "])
+    fields = [f"- {key}: {what}" for key, what in ASKED.items()]
+    return "\n".join(
+        ["Read the passage and fill in the fields below.", "Every field is a list of strings; leave it empty if the passage says nothing on it.",
+         *fields, "", "Passage:", ""]
+    )
 
 
 def format_note() -> str:
     """The fixed part after the chunk: the answer's shape."""
-    lines = [f'\t"{key}": string  // extract {key.replace("_", " ")} from text' for key in INSTRUCTIONS]
-    return "\n".join(["", "Answer with one JSON object:", "{", *lines, "}", ""])
+    empty = ", ".join(f'"{key}": []' for key in ASKED)
+    return "\n".join(["", "", "Reply with a single JSON object of this shape and nothing else:", "{" + empty + "}"])
 
 
 def _sentences(body: Column, is_list: bool) -> Column:

@@ -5,8 +5,8 @@ table.  Here the order column is cut into ``buckets`` ranges.  Windows run insid
 what crosses ranges is carried by a summary with one row per (key, range), so a key contributes at
 most ``buckets`` rows to the second window.  Results are exact for any bucket count.
 
-The ranges have equal width between the smallest and largest value, so the order column should be
-reasonably dense, as a running number is.
+The ranges hold about equally many rows: their borders are quantiles from Spark's mergeable quantile sketch, so
+neither gaps nor outliers of the order column put many rows into one range.
 """
 
 from __future__ import annotations
@@ -16,12 +16,25 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 BUCKETS = 4096
 
 
+def cut_points(df: DataFrame, seq: str, buckets: int = BUCKETS) -> Column:
+    """Borders of ``buckets`` ranges of about equally many rows, as a scalar subquery: a rising array.
+
+    The sketch is off by less than half a range.  Values that many rows share give equal borders, between which nothing lies.
+    """
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    return df.agg(F.percentile_approx(seq, shares, 4 * buckets)).scalar()
+
+
 def with_bucket(df: DataFrame, seq: str, buckets: int = BUCKETS, name: str = "_bucket") -> DataFrame:
-    """Add the number of the range that ``seq`` falls into."""
-    low = df.agg(F.min(seq).cast("double").alias("lo")).scalar()
-    width = df.agg(((F.max(seq).cast("double") - F.min(seq) + 1) / buckets).alias("w")).scalar()
-    bucket = F.least(F.floor((F.col(seq) - low) / width), F.lit(buckets - 1)).cast("int")
-    return df.withColumn(name, bucket)
+    """Add the number of the range that ``seq`` falls into: how many borders it reaches, by binary search."""
+    if buckets == 1:
+        return df.withColumn(name, F.lit(0))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((buckets - 1).bit_length()))])
+    cut = df.withColumn("_cuts", cut_points(df, seq, buckets))
+    # Past the end there is no border, and nothing compares as reached.
+    reached = lambda at, step: F.get("_cuts", at + step - 1) <= F.col(seq)
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at, step), at + step).otherwise(at))
+    return cut.withColumn(name, found).drop("_cuts")
 
 
 def with_previous(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from contentflow.functions import markup, text
+from contentflow.functions.binding import let
 from contentflow.functions.dates import MISSING, parse_us_date
 from contentflow.functions.text import post_id
 
@@ -18,22 +19,21 @@ CONTENT_WRAPPER = markup.open_tag("div", css_class="blog-item-content-wrapper")
 
 
 def article_cards(pages: DataFrame, html: str = "html", keep: list[str] = ()) -> DataFrame:
-    """One row per article card of an index page; missing parts read 'N/A'."""
-    card = markup.open_tag("article", css_class=CARD_CLASS)
-    cut = F.regexp_extract_all(
-        markup.mark_invisible(F.col(html)), F.lit(rf"(?is){card}(.*?)(?:</article\s*>|\z)"), F.lit(1)
-    )
+    """One row per article card of an index page; missing parts read 'N/A'.
+
+    The page is taken apart once; cards, and the parts of a card, are elements cut by depth, so they may hold elements
+    of their own kind.
+    """
+    cut = let(markup.outline(F.col(html)), lambda o: markup.elements(o, "article", CARD_CLASS))
     cards = pages.select(*keep, F.posexplode(cut).alias("card_idx", "_card"))
     c = F.col("_card")
 
     def part(tag: str, css_class: str | None = None) -> Column:
-        # The whole first element, NULL without one; its own tags become marks like any other.
-        element = rf"(?is){markup.open_tag(tag, css_class=css_class)}.*?(?:</{tag}\s*>|\z)"
-        return F.regexp_replace(F.regexp_substr(c, F.lit(element)), markup.TAG, markup.MARK)
+        return markup.marked_text(markup.first_element(c, tag, css_class))
 
-    link = F.regexp_substr(c, F.lit(r"(?is)<a\s(?:[^>]*\s)?href\s*=[^>]*>"))
+    link = F.filter(c, lambda e: (e["name"] == "a") & (e["change"] >= 0) & markup.has_attr(e["tag"], "href"))
     raw = {
-        "urlId": markup.raw_attr(link, "href"),
+        "urlId": markup.raw_attr(F.get(link, F.lit(0))["tag"], "href"),
         "date": part("time"),
         "author": part("span", "blog-author"),
         "title": part("h1", "blog-title"),

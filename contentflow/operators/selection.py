@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from contentflow.functions.dates import iso_date
 from contentflow.functions.text import keep_keywords
+from contentflow.session import stage
 
 
 def unseen(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -44,21 +45,23 @@ def crawl_until_known(
 
     The first page always counts.  The crawl stops before the first later page that shows no new
     URL, or on which one of the new posts has a stored title; a missing page number ends it too.
-    Only one row per page reaches the decision, and the decision is one number.
+
+    ``posts`` is read twice.  The first pass leaves one row per URL, with the first page that shows it and whether its title is
+    known there, and from that one row per page; both are staged.  The pages decide where the longest unbroken
+    run ends, which is one number, and the second pass takes the rows before it.
     """
-    fresh = first_page_only(posts, page, url)
-    seen_titles = fresh.select(page, title).distinct().join(
-        known_titles.select(title), title, "left_semi"
-    )
-    shown = posts.select(F.col(page).alias("_p")).distinct()
-    first = shown.agg(F.min("_p").alias("_first"))
-    fruitful = fresh.select(F.col(page).alias("_p")).distinct()
-    blocked = seen_titles.select(F.col(page).alias("_p")).distinct()
-    good = fruitful.join(blocked, "_p", "left_anti").where(F.col("_p") > first.scalar())
-    # The page after each page that was taken; the smallest that is not good ends the crawl.
-    nexts = good.select("_p").union(first.select("_first")).select((F.col("_p") + 1).alias("_p"))
-    stop = nexts.join(good.select("_p"), "_p", "left_anti").agg(F.min("_p").alias("_stop"))
-    return fresh.where(F.col(page) < stop.scalar())
+    known = known_titles.select(F.col(title).alias("_known")).distinct()
+    told = posts.select(page, url, title).join(known, F.col(title) == F.col("_known"), "left")
+    # Per page first: the partial aggregate of a URL that very many rows repeat is one row in every task.
+    shown = told.groupBy(F.col(url).alias("_url"), F.col(page).alias("_page")).agg(F.max(F.col("_known").isNotNull()).alias("known"))
+    firsts = stage(shown.groupBy("_url").agg(F.min(F.struct("_page", "known")).alias("f")).select("_url", "f.*"), "first-pages")
+    pages = stage(firsts.groupBy("_page").agg(F.max("known").alias("blocked")), "crawl-pages")
+    begin = pages.agg(F.min("_page")).scalar()
+    taken = pages.where(~F.col("blocked") | (F.col("_page") == begin)).select("_page")
+    # The page after each page that may be taken; the smallest that may not ends the crawl.
+    stop = taken.select((F.col("_page") + 1).alias("_page")).join(taken, "_page", "left_anti").agg(F.min("_page")).scalar()
+    wanted = firsts.where(F.col("_page") < stop)
+    return posts.join(wanted, F.col(url).eqNullSafe(F.col("_url")) & (F.col(page) == F.col("_page")), "left_semi")
 
 
 def after_high_water(new: DataFrame, existing: DataFrame, date: str = "date") -> DataFrame:

@@ -23,10 +23,43 @@ def chunk_text(t):
     return _chunks(t)
 
 
+# The request as it has to read, around its chunk.
+_REQUEST = """Read the passage and fill in the fields below.
+Every field is a list of strings; leave it empty if the passage says nothing on it.
+- summary: A short account in plain words.
+- tldr: The same in a single plain sentence.
+- keywords: Words a reader would search for.
+- synonyms_acronyms: Abbreviations and other names of the main terms.
+- entities: People, organisations and products named.
+- locations: Places named.
+- diseases: Illnesses and conditions named.
+- variants: Variants of genes or proteins.
+- genetic_information: Genes, their products and how they are inherited.
+- symptoms: Signs and complaints described.
+- medications: Drugs named.
+- treatments: Therapies and procedures described.
+- medical_tests: Tests and examinations described.
+- diagnoses: Findings that a clinician settled on.
+- causes: What brought a condition about.
+- key_findings: The main results.
+- causal_relationships: What depends on or leads to what.
+- scientific_facts: Statements of fact that the passage makes or relies on.
+- practical_implications: What follows for practice.
+- policy_recommendations: What policy makers are advised to do.
+
+Passage:
+#
+
+Reply with a single JSON object of this shape and nothing else:
+{"summary": [], "tldr": [], "keywords": [], "synonyms_acronyms": [], "entities": [], "locations": [], "diseases": [], \
+"variants": [], "genetic_information": [], "symptoms": [], "medications": [], "treatments": [], "medical_tests": [], \
+"diagnoses": [], "causes": [], "key_findings": [], "causal_relationships": [], "scientific_facts": [], \
+"practical_implications": [], "policy_recommendations": []}""".split("#")
+
+
 @query(
     "extraction_requests",
-    f"WITH RECURSIVE {s.chunks(LIMIT)} SELECT doc_id, chunk_idx, "
-    f"{s.quoted(X.request_head())} || chunk || {s.quoted(X.format_note())} AS request FROM chunks",
+    f"WITH RECURSIVE {s.chunks(LIMIT)} SELECT doc_id, chunk_idx, {s.quoted(_REQUEST[0])} || chunk || {s.quoted(_REQUEST[1])} AS request FROM chunks",
 )
 def extraction_requests(t):
     return X.extraction_requests(_chunks(t), "doc_id")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from contentflow.functions import markup
 from contentflow.functions.text import split_words
-from contentflow.operators.ordering import with_bucket
 from contentflow.operators.pages import content_of
 from contentflow.schemas import RESULT_KEYS
+from contentflow.session import shared_folder
 from contentflow.workload.registry import Tables
 
 ARTICLE = markup.open_tag("article")
@@ -48,22 +48,24 @@ def posts(t: Tables) -> DataFrame:
 def index_pages(t: Tables) -> DataFrame:
     """Index pages of up to 25 cards, one card per order.
 
-    Every 7th card lacks its author, every 13th its excerpt, every 11th has no valid date.
+    Every 7th card lacks its author, every 13th its excerpt, every 11th has no valid date.  Parts hold elements of their own
+    kind, and attributes hold ``>``.
     """
     k = F.col("o_orderkey")
     date = F.when(k % 11 == 0, F.lit("soon")).otherwise(F.date_format("o_orderdate", "M/d/yy"))
-    author = F.when(k % 7 != 0, F.concat(F.lit('<span class="by blog-author"> '), "c_name", F.lit(" </span>")))
+    author = F.when(k % 7 != 0, F.concat(F.lit('<span class="by blog-author"> <span>'), "c_name", F.lit(" </span>"),
+        F.when(k % 5 == 0, F.lit("<span><span>J</span>r</span>")).otherwise(F.lit("")), F.lit(" </span>")))
     excerpt = F.when(
         k % 13 != 0,
         F.concat(
-            F.lit('<div class="blog-excerpt-wrapper"><p>Status '), "o_orderstatus",
-            F.lit("; </p><p>"), "o_orderpriority", F.lit("</p></div>"),
+            F.lit('<div class="blog-excerpt-wrapper"><div>Status '), "o_orderstatus",
+            F.lit("; </div><div>"), "o_orderpriority", F.lit("</div></div>"),
         ),
     )
     card = F.concat(
-        F.lit('<article class="hentry blog-basic-grid--container"><div><a name="c">.</a><a class="img" href="/brief/'),
+        F.lit('<article data-q="<article>" class="hentry blog-basic-grid--container"><div><a name="c">.</a><a class="img" title="more > less" href="/brief/'),
         k, F.lit('?a=1&amp;b=2"><b></b></a><time class="blog-date">'), date, F.lit("</time>"),
-        F.coalesce(author, F.lit("")), F.lit('<h1 class="blog-title"><a href="/x">Order '), k,
+        F.coalesce(author, F.lit("")), F.lit('<h1 data-x="1>0" class="blog-title"><a href="/x">Order '), k,
         F.lit(" &amp; <em>more</em></a></h1>"), F.coalesce(excerpt, F.lit("")),
         F.lit('<a href="/c" class="blog-categories">'), "c_mktsegment", F.lit("</a></div></article>"),
     )
@@ -83,11 +85,11 @@ def pages_with_extras(t: Tables) -> DataFrame:
     """Pages with images, absolute links and a tag box put in, by ``page_id``."""
     p = F.col("page_id").cast("string")
     images = F.concat(
-        F.lit('<article><img alt="x" src="/img/'), p, F.lit('.png"><img src=""><IMG SRC=\'https://cdn.example/'),
+        F.lit('<article><img alt="see src=foo > bar" src="/img/'), p, F.lit('.png"><img src=""><IMG SRC=\'https://cdn.example/'),
         p, F.lit(".jpg?a=1&amp;b=2'/>"),
     )
     links = F.concat(
-        F.lit('<article><a href="https://out.example/'), p,
+        F.lit('<article><a title="a > b href=x" href="https://out.example/'), p,
         F.lit('">o</a><a href="https://site.example/in">i</a><a class=z href=#top>t</a>'
               '<a href="mailto:desk@out.example">m</a><a href="/local">l</a><a name="n">n</a>'),
     )
@@ -95,10 +97,10 @@ def pages_with_extras(t: Tables) -> DataFrame:
     with_images = F.replace(html, F.lit("<article>"), images)
     with_links = F.replace(html, F.lit("<article>"), links)
     boxed = F.replace(
-        F.replace(html, F.lit("<nav>"), F.lit('<div class="blog-meta-item blog-meta-item--tags">')),
+        F.replace(html, F.lit("<nav>"), F.lit('<div class="blog-meta-item blog-meta-item--tags"><div>-</div>')),
         F.lit("</nav>"), F.lit("</div>"),
     )
-    boxed = F.replace(boxed, F.lit("<li><a href="), F.lit('<li><a class="t blog-item-tag" href='))
+    boxed = F.replace(boxed, F.lit("<li><a href="), F.lit('<li><a data-n="a>b" class="t blog-item-tag" href='))
     third = F.col("page_id") % 3
     return t.pages.select(
         "page_id", "url",
@@ -149,9 +151,12 @@ def lexicon(texts: DataFrame, column: str) -> DataFrame:
 
 
 def gazetteer(t: Tables) -> DataFrame:
-    """Distinct words of the benchmark items with a group by length."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    terms = t.benchmark.select(F.explode(words).alias("term")).distinct().where("length(term) >= 5")
+    """Distinct words of the benchmark items and some of their runs of two and three words, with a group by length."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("ws")
+    runs = F.explode(F.expr("flatten(transform(ws, (w, i) -> transform(sequence(1, 3), n -> slice(ws, i + 1, n))))")).alias("r")
+    runs = t.benchmark.select(words).select(runs).select(F.array_join("r", " ").alias("term"), F.size("r").alias("n"))
+    some = "n = 1 AND length(term) >= 5 OR n = 2 AND length(term) % 4 = 0 OR n = 3 AND length(term) % 5 = 0"
+    terms = runs.where(some).select("term").distinct()
     group = F.when(F.length("term") % 3 == 0, "ORG").when(F.length("term") % 3 == 1, "PER").otherwise("LOC")
     return terms.select("term", group.alias("entity_group"))
 
@@ -194,11 +199,26 @@ def changes(t: Tables) -> DataFrame:
     )
 
 
+def diff_files(t: Tables) -> DataFrame:
+    """The change feed as JSON-lines files of four diffs, and the list of these files.
+
+    A diff's files come in the order of the events; every fourth event is in the same diff.
+    """
+    root = shared_folder(t.spark, "diffs")
+    lines = changes(t).select((F.col("seq") % 4).cast("int").alias("diff_idx"), "op", "key", "payload", "seq")
+    placed = lines.repartitionByRange(5, "seq").sortWithinPartitions("diff_idx", "op", "seq")
+    placed.drop("seq").write.partitionBy("diff_idx", "op").json(root)
+    named = t.spark.read.text(root).select("diff_idx", "op", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
+    order = W.partitionBy("diff_idx", "op").orderBy("name")
+    return named.distinct().select("diff_idx", "op", (F.row_number().over(order) - 1).alias("file_idx"), "path")
+
+
 def change_target(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("payload"))
 
 
 def slices(df: DataFrame, seq: str, n: int) -> list[DataFrame]:
-    """The table cut into ``n`` consecutive ranges of ``seq``."""
-    cut = with_bucket(df, seq, n, "_slice")
-    return [cut.where(F.col("_slice") == i).drop("_slice") for i in range(n)]
+    """The table cut into ``n`` consecutive ranges of ``seq`` of equal width."""
+    ends = df.agg(F.min(seq).alias("lo"), ((F.max(seq) - F.min(seq) + 1) / n).alias("w")).first()
+    cut = F.floor((F.col(seq) - ends["lo"]) / ends["w"])
+    return [df.where(cut == i) for i in range(n)]

@@ -75,7 +75,7 @@ _FRESH = f"""{s.POSTS}, fresh AS (
 
 @query(
     "polish_store",
-    f"""WITH {_FRESH}, {wa._ranked('SELECT seq AS id, body AS text FROM polished', 10)}, {wa._LISTS}, {wa._GAZ.replace('FROM documents', 'FROM (SELECT seq AS doc_id, body AS text FROM polished)')}
+    f"""WITH RECURSIVE {_FRESH}, {wa._ranked('SELECT seq AS id, body AS text FROM polished', 10)}, {wa._LISTS}, {wa._GAZ.replace('FROM documents', 'FROM (SELECT seq AS doc_id, body AS text FROM polished)')}
 SELECT seq, date, body, array_to_string(kw[1:5], ' ') AS summary,
        array_to_string(list_filter(list_concat(tags, kw), lambda k: trim(k) <> '' AND instr({s.quoted(PUNCTUATION)}, k) = 0), '|') AS keywords,
        coalesce((SELECT string_agg(word || '/' || entity_group, ' ' ORDER BY pos) FROM found WHERE doc_id = seq), '') AS entities

@@ -113,7 +113,7 @@ def release_catalog(t):
 SELECT CAST(o_orderkey // 25 AS BIGINT) AS page_id, '/brief/' || o_orderkey || '?a=1&b=2' AS "urlId",
        md5('/brief/' || o_orderkey || '?a=1&b=2') AS uuid,
        CASE WHEN o_orderkey % 11 = 0 THEN 'N/A' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date,
-       CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' ELSE c_name END AS author,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' WHEN o_orderkey % 5 = 0 THEN c_name || 'Jr' ELSE c_name END AS author,
        'Order ' || o_orderkey || ' &more' AS title,
        CASE WHEN o_orderkey % 13 = 0 THEN 'N/A' ELSE 'Status ' || o_orderstatus || ';' || o_orderpriority END AS excerpt,
        c_mktsegment AS categories

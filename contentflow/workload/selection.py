@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from contentflow.operators import changes as C, selection as S, views as V
 from contentflow.functions.text import PUNCTUATION, split_words
+from contentflow.plans import release
+from contentflow.sources.releases import read_diff_lines
 from contentflow.workload import fixtures as fx, sqltext as s
 from contentflow.workload.registry import query
 
@@ -166,6 +168,36 @@ def delete_misses(t):
     return C.delete_misses(fx.change_target(t).where("key % 3 <> 0"), fx.changes(t), "key")
 
 
+_DIFFS = """diffs AS (
+  SELECT row_number() OVER (ORDER BY event_id % 4, event_type = 'error', event_id) AS seq,
+         CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, user_id AS key, event_type || ':' || props AS payload FROM events)"""
+
+
+def _diff_lines(t):
+    return read_diff_lines(t.spark, fx.diff_files(t), "key long, payload string")
+
+
+@query(
+    "apply_diffs",
+    f"""WITH {_DIFFS}
+SELECT c_custkey AS key, c_name AS payload FROM customer WHERE c_custkey NOT IN (SELECT key FROM diffs)
+UNION ALL SELECT key, payload FROM diffs WHERE op = 'upsert' AND seq IN (SELECT max(seq) FROM diffs GROUP BY key)""",
+)
+def apply_diffs(t):
+    return release.apply_diffs(fx.change_target(t), _diff_lines(t), "key")[0]
+
+
+@query(
+    "diff_misses",
+    f"""WITH {_DIFFS}, h AS (SELECT *, lag(op) OVER (PARTITION BY key ORDER BY seq) AS prev FROM diffs)
+SELECT key, count(*) AS misses FROM h WHERE op = 'delete'
+AND (prev = 'delete' OR (prev IS NULL AND key NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0))) GROUP BY key""",
+)
+def diff_misses(t):
+    missed = release.apply_diffs(fx.change_target(t).where("key % 3 <> 0"), _diff_lines(t), "key")[1]
+    return missed.groupBy("key").agg(F.count(F.lit(1)).alias("misses"))
+
+
 @query(
     "newest_first",
     f"""WITH {_DATED}

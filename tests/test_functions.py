@@ -1,6 +1,8 @@
 """Column functions on hand-written values: the semantics decisions and the corner cases."""
 
 import html
+import html.parser
+import random
 import re
 
 import pytest
@@ -8,6 +10,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from contentflow.functions import dates, markup, records, text
+from contentflow.operators import pages
 
 
 @pytest.mark.parametrize(
@@ -223,3 +226,85 @@ def test_links_and_images_with_end_marks_in_values(one):
 )
 def test_dates_with_times_and_zones(one, text):
     assert one(dates.standardize_date, text) == "2024-03-01"
+
+
+class Tree(html.parser.HTMLParser):
+    """Texts of the elements of one name and class, found by the standard library's parser."""
+
+    def __init__(self, name, token):
+        super().__init__(convert_charrefs=True)
+        self.name, self.token, self.open, self.found = name, token, [], []
+
+    def handle_starttag(self, tag, attrs):
+        hit = tag == self.name and (self.token is None or self.token in (dict(attrs).get("class") or "").split())
+        if tag not in markup.VOID_TAGS:
+            texts = [] if hit else None
+            if hit:
+                self.found.append(texts)
+            self.open.append((tag, texts))
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        at = max((i for i, (t, _) in enumerate(self.open) if t == tag), default=None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        for _, texts in self.open:
+            if texts is not None:
+                texts.append(data)
+
+
+def test_elements_against_a_parser(spark):
+    """Random nesting, unclosed elements, stray closing tags and misleading attributes."""
+    rnd = random.Random(12)
+    parts = ["x", "y ", " z", "<b>", "</b>", "<div>", "</div>", '<div class="k">', "<div title='a > b class=k'>", '<DIV data-x="1>0" class=" a k b ">',
+             "<b class=k>", "</B >", "<br>", "<img alt='</div>'>", "<div/>", "<p>", "</p>", "<!-- <div class=k> -->"]
+    pages = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    pages += ["<div class=k>" * 500 + "deep" + "</div>" * 500, "<b>" + "<div class=k>q</div>" * 400]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+
+    def texts(o, name, token):
+        return F.transform(markup.elements(o, name, token), lambda e: markup.join_nodes(markup.marked_text(e), ""))
+
+    o = F.col("o")
+    got = df.select("id", markup.outline(F.col("html")).alias("o")).select(
+        "id", texts(o, "div", "k").alias("dk"), texts(o, "div", None).alias("d"), texts(o, "b", "k").alias("bk"),
+        markup.join_nodes(markup.marked_text(markup.first_element(o, "div", "k")), "").alias("first"),
+    )
+    for r in got.collect():
+        for column, name, token in (("dk", "div", "k"), ("d", "div", None), ("bk", "b", "k")):
+            tree = Tree(name, token)
+            tree.feed(pages[r["id"]])
+            tree.close()
+            want = ["".join(t.strip() for t in e) for e in tree.found]
+            # A run of text that a comment or a stray tag parts is several text nodes here and in the parser.
+            assert r[column] == want, pages[r["id"]]
+        assert r["first"] == (r["dk"][0] if r["dk"] else None)
+
+
+@pytest.mark.parametrize(
+    "tag, name, value, there",
+    [('<a title="href=x" data-href=q href = \'y z\'>', "href", "y z", True), ("<a href>", "href", "", True), ("<a data-href=1 >", "href", "", False),
+     ('<img src=a alt="src=b" src="c">', "src", "c", True), ("<a title='href=x'>", "href", "", False), ("<a/href=x>", "href", "x", True),
+     ('<a href=""q>', "href", "", True)],
+)
+def test_attributes_are_walked_from_the_left(one, tag, name, value, there):
+    assert one(lambda c: markup.raw_attr(c, name), tag) == value and one(lambda c: markup.has_attr(c, name), tag) is there
+
+
+def test_opening_tags_by_class(one):
+    tags = ['<div data-a="x>y" class="a k">', "<div class='k'>", "<div class=k id=1>", '<div title="class=k">', '<div class="kk">', "<div data-class=k>", "<divk class=k>"]
+    pattern = "(?is)" + markup.open_tag("div", css_class="k")
+    assert [one(lambda c: c.rlike(pattern), t) for t in tags] == [True] * 3 + [False] * 4
+
+
+def test_nested_parts_of_cards_and_tag_boxes(spark):
+    card = """<article class="blog-basic-grid--container"><a title="a > b" href="/p/1">x</a><span class="blog-author">By <span>Jane</span> Doe</span>
+    <h1 data-x="1>0" class="blog-title">T</h1><div class="blog-excerpt-wrapper"><div>One</div><div>Two</div></div></article>"""
+    box = '<div class="blog-meta-item blog-meta-item--tags"><div><a class="blog-item-tag">A</a></div><div><a class="blog-item-tag">B<i>!</i></a></div></div>'
+    r = pages.article_cards(spark.createDataFrame([(card,)], "html string")).first()
+    assert (r.urlId, r.author, r.title, r.excerpt) == ("/p/1", "ByJaneDoe", "T", "OneTwo")
+    assert pages.page_tags(spark.createDataFrame([(box + '<a class="blog-item-tag">C</a>',)], "html string")).first().tags == ["A", "B!"]
