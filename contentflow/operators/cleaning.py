@@ -14,21 +14,54 @@ def fix_encoding(df: DataFrame) -> DataFrame:
     return map_string_leaves(df, text.drop_invalid_utf8)
 
 
+def _defects(c: Column, dtype: T.DataType, path: Column) -> Column | None:
+    """Paths of the strings inside a value that are not UTF-8, as an array; None for a type without strings."""
+    none = F.array().cast("array<string>")
+    if isinstance(dtype, T.StringType):
+        return F.when(~F.is_valid_utf8(c), F.array(path)).otherwise(none)
+    if isinstance(dtype, T.StructType):
+        parts = [_defects(c[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in dtype]
+        parts = [p for p in parts if p is not None]
+        return F.concat(*parts) if parts else None
+
+    def each(items: Column, element: T.DataType, where: Column) -> Column | None:
+        at = lambda i: F.concat(where, F.lit("["), i.cast("string"), F.lit("]"))
+        if _defects(F.lit(None), element, where) is None:
+            return None
+        return F.coalesce(F.flatten(F.transform(items, lambda x, i: _defects(x, element, at(i)))), none)
+
+    if isinstance(dtype, T.ArrayType):
+        return each(c, dtype.elementType, path)
+    if isinstance(dtype, T.MapType):
+        # A broken key cannot name its entry: keys and values go by their position.
+        parts = [
+            each(F.map_keys(c), dtype.keyType, F.concat(path, F.lit(".keys"))),
+            each(F.map_values(c), dtype.valueType, F.concat(path, F.lit(".values"))),
+        ]
+        parts = [p for p in parts if p is not None]
+        return F.concat(*parts) if parts else None
+    return None
+
+
 def encoding_audit(df: DataFrame, row_id: str, fields: list[str] | None = None) -> DataFrame:
-    """Rows and fields that cannot be serialised: one row per (row id, field)."""
-    names = fields or [f.name for f in df.schema if f.name != row_id]
+    """Strings that cannot be serialised: ``(row id, field, path)``, one row per string.
+
+    The schema is walked into structs, arrays and maps; ``path`` leads from the column to the string, with positions from 0, such
+    as ``body[3]``, ``Metadata.title`` or ``labels.values[0].name``.
+    """
+    named = lambda name: lambda p: F.struct(F.lit(name).alias("field"), p.alias("path"))
+    found = []
+    for name in fields or [f.name for f in df.schema if f.name != row_id]:
+        paths = _defects(F.col(f"`{name}`"), df.schema[name].dataType, F.lit(name))
+        if paths is not None:
+            found.append(F.transform(paths, named(name)))
+    kind = "array<struct<field:string,path:string>>"
+    return df.select(row_id, F.explode(F.concat(*found) if found else F.array().cast(kind)).alias("_d")).select(row_id, "_d.*")
 
-    def broken(name: str) -> Column:
-        dtype = df.schema[name].dataType
-        c = F.col(f"`{name}`")
-        if isinstance(dtype, T.StringType):
-            return ~F.is_valid_utf8(c)
-        if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):
-            return F.exists(c, lambda x: ~F.is_valid_utf8(x))
-        return F.lit(False)
 
-    bad = F.array_compact(F.array(*[F.when(broken(n), F.lit(n)) for n in names]))
-    return df.select(row_id, F.explode(bad).alias("field"))
+def row_key(*columns: str) -> Column:
+    """A key of a row from columns that tell rows apart: the same on every run, for missing values too."""
+    return F.md5(F.to_json(F.struct(*columns)))
 
 
 SEGMENT = 512  # words looked up against one map; map look-ups scan their keys
@@ -48,10 +81,11 @@ def _segments(words: Column) -> Column:
 def lemmatize(df: DataFrame, lexicon: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Replace each word of whitespace-separated text columns by its lemma; unknown words stay.
 
-    ``lexicon(word, lemma)`` has one row per word.  Every row sends the distinct words of its
-    segments once, and only those the lexicon changes come back, as one small map per segment.
-    The text itself is not taken apart in the shuffle.
+    ``key`` tells rows apart.  ``lexicon(word, lemma)``; of several lemmas of a word the first in order counts.  Every row
+    sends the distinct words of its segments once, and only those the lexicon changes come back, as one
+    small map per segment.  The text itself is not taken apart in the shuffle.
     """
+    single = lexicon.groupBy("word").agg(F.min("lemma").alias("lemma")).where("word <> lemma")
     types = dict(df.dtypes)
 
     def words_of(c: str) -> Column:
@@ -70,9 +104,9 @@ def lemmatize(df: DataFrame, lexicon: DataFrame, key: str, columns: list[str]) -
         key, "_p.c", "_p.k", F.explode("_p.ws").alias("word")
     )
     changes = (
-        words.join(lexicon.where("word <> lemma"), "word")
+        words.join(single, "word")
         .groupBy(key, "c", "k")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("m"))
+        .agg(F.map_from_entries(F.collect_set(F.struct("word", "lemma"))).alias("m"))
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct(F.struct("c", "k"), "m"))).alias("_maps"))
     )

@@ -64,11 +64,11 @@ _GAZ = rf"""benchmark_words AS (SELECT regexp_extract_all(lower(text), '[\p{{L}}
   SELECT DISTINCT array_to_string(ws[i:i + n - 1], ' ') AS term, CASE length(term) % 3 WHEN 0 THEN 'ORG' WHEN 1 THEN 'PER' ELSE 'LOC' END AS entity_group
   FROM benchmark_words, range(1, 100000) r(i), range(1, 4) q(n) WHERE i <= len(ws)
   AND CASE len(ws[i:i + n - 1]) WHEN 1 THEN length(term) >= 5 WHEN 2 THEN length(term) % 4 = 0 ELSE length(term) % 5 = 0 END
-), toks AS (
+), spelled AS (
   SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS ws, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+[^\p{{L}}\p{{N}}_]*') AS ps FROM documents
 ), grams AS (
   SELECT doc_id, i - 1 AS pos, n, CASE WHEN n = 1 THEN ws[i] ELSE {s.squeeze("array_to_string(ps[i:i + n - 2], '') || ws[i + n - 1]")} END AS word
-  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM toks), range(1, 4) q(n) WHERE i + n - 1 <= len(ws)
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM spelled), range(1, 4) q(n) WHERE i + n - 1 <= len(ws)
 ), best AS (
   SELECT doc_id, pos, n, word, entity_group FROM grams JOIN gaz ON lower(word) = term
   QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY n DESC) = 1

@@ -92,13 +92,17 @@ def fix_encoding(t):
 
 @query(
     "encoding_audit",
-    """SELECT doc_id, unnest(['text', 'body']) AS field FROM documents WHERE doc_id % 10 = 0
-UNION ALL SELECT doc_id, 'lang' FROM documents WHERE doc_id % 7 = 0""",
+    """SELECT doc_id, unnest(['text', 'body', 'deep', 'deep', 'named']) AS field,
+  unnest(['text', 'body[1]', 'deep.notes[0].t', 'deep.notes[2].t', 'named.values[1]']) AS path FROM documents WHERE doc_id % 10 = 0
+UNION ALL SELECT doc_id, unnest(['lang', 'deep', 'named']), unnest(['lang', 'deep.lang', 'named.keys[1]']) FROM documents WHERE doc_id % 7 = 0""",
 )
 def encoding_audit(t):
     lang = F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("61C3")).cast("string")).otherwise(F.col("lang"))
     rows = t.documents.select("doc_id", lang.alias("lang"), _broken("text").alias("text"), "source")
-    return C.encoding_audit(rows.withColumn("body", F.array("source", "text")), "doc_id")
+    note = lambda c: F.struct(F.col(c).alias("t"), F.lit(1).alias("n"))
+    deep = F.struct(F.array(note("text"), note("source"), note("text")).alias("notes"), "lang")
+    named = F.create_map(F.lit("source"), "source", "lang", "text")
+    return C.encoding_audit(rows.select("*", F.array("source", "text").alias("body"), deep.alias("deep"), named.alias("named")), "doc_id")
 
 
 @query("clean_text", f"SELECT doc_id, {s.clean('text')} AS text FROM documents")

@@ -129,7 +129,7 @@ _NESTED = f"""{s.POSTS}, {_RESULTS}, nested AS (
 @query(
     "nest_record",
     f"""WITH RECURSIVE {_NESTED}
-SELECT "urlId", uuid, date, title, CASE WHEN seq % 3 = 0 THEN '' ELSE excerpt END AS excerpt, image AS images,
+SELECT "urlId", uuid, date, author, title, CASE WHEN seq % 3 = 0 THEN '' ELSE excerpt END AS excerpt, image AS images,
        {s.joined('body')} AS body, {s.joined('tags')} AS tags, '' AS refs, categories,
        {", ".join(f"{s.joined(k)} AS {k}" for k in RESULT_KEYS)} FROM nested""",
 )
@@ -137,7 +137,7 @@ def nest_record(t):
     flat = flatten(_nested(t))
     short = {c: c.split(".")[-1] for c in flat.columns}
     lists = ["images", "body", "tags", "references", *RESULT_KEYS]
-    named = flat.toDF(*short.values()).drop("author")
+    named = flat.toDF(*short.values())
     return named.select(
         *[F.array_join(c, "|").alias("refs" if c == "references" else c) if c in lists else c for c in named.columns]
     )

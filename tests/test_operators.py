@@ -356,6 +356,44 @@ def test_lemmatize_long_text(spark):
     assert got == {1: (want, ["l2 w3", "l4"]), 2: ("", [])}
 
 
+def test_several_lemmas_and_rows_of_one_key(spark):
+    lex = spark.createDataFrame([("axes", "axis"), ("axes", "axe"), ("axes", "axis"), ("cats", "cat")], "word string, lemma string")
+    df = spark.createDataFrame([(1, "axes cats"), (1, "cats axes cats")], "id int, text string")
+    assert rows(cleaning.lemmatize(df, lex, "id", ["text"]), "text") == [("axe cat",), ("cat axe cat",)]
+
+
+CLEAN = [
+    ("u1", None, "/a", "T one", "Cats met dogs in New York."), ("u1", None, "/a", "T two", "Dogs slept."), ("u1", None, "/a", "T one", "again"),
+    (None, "x1", "/b", "B", "Cats"), (None, "x2", "/c", "B", "Dogs"), (None, "x3", None, None, ""), (None, "gone", "/d", "D", "stored already"), ("u9", None, "/e", "", "York"),
+]
+
+
+def test_the_cleaning_flow_keeps_one_row_per_post(spark):
+    """Repeated URLs and ids, missing ids, URLs and titles, several lemmas of a word."""
+    from contentflow.plans.cleaner import refresh_cleaned
+
+    raw = [(i, u, x, "2024-01-02", "An", url, title, "e", [body], ["topic"], "c") for i, (u, x, url, title, body) in enumerate(CLEAN)]
+    raw = spark.createDataFrame(raw, "seq int, uuid string, unique_id string, date string, author string, urlId string, title string, excerpt string, body array<string>, tags array<string>, categories string")
+    stored = spark.createDataFrame([("gone", "old", "s")], "unique_id string, title string, summary string")
+    gaz = spark.createDataFrame([("new york", "LOC"), ("york", "LOC"), ("cat", "PET")], "term string, entity_group string")
+    lex = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("dogs", "doggy")], "word string, lemma string")
+    store, audit = refresh_cleaned(raw, stored, gaz, lex)
+    got = {r.seq: r for r in store.where("batch = 0").collect()}
+    assert sorted(got) == [0, 1, 3, 4, 5, 7] and store.count() == 7 and audit.count() == 0
+    assert [[e.word for e in got[i].entities] for i in (0, 1, 3, 4, 5, 7)] == [["cat", "new york"], [], ["cat"], [], [], ["york"]]
+    assert got[1].body == "dog slept" and set(got[1].keywords) == {"topic", "dog", "slept"} and got[5].summary == "" and got[5].keywords == ["topic"]
+    assert tuple(store.where("batch = 1").select("unique_id", "title", "summary").first()) == ("gone", "old", "s")
+
+
+def test_audit_of_nested_columns(spark):
+    df = spark.range(2).withColumn("bad", F.when(F.col("id") == 1, F.unhex(F.lit("C3")).cast("string")).otherwise(F.lit("fine")))
+    deep = F.struct(F.array(F.struct(F.lit("ok").alias("t")), F.lit(None), F.struct(F.col("bad").alias("t"))).alias("l"), F.lit(None).cast("string").alias("n"))
+    named = F.create_map(F.lit("k"), F.array("bad"), F.col("bad"), F.array(F.lit("v")))
+    df = df.select("id", deep.alias("deep"), named.alias("m"), F.lit(None).cast("array<string>").alias("none"), F.lit(1).alias("n"))
+    assert rows(cleaning.encoding_audit(df, "id"), "id", "path") == [(1, "deep.l[2].t"), (1, "m.keys[1]"), (1, "m.values[0][0]")]
+    assert cleaning.encoding_audit(df, "id", ["n"]).count() == 0 and cleaning.encoding_audit(df, "id", ["m"]).count() == 2
+
+
 def test_diff_flow(spark):
     from contentflow.plans.release import apply_diffs
 
