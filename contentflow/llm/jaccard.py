@@ -213,14 +213,20 @@ def _links(reps: DataFrame, base: DataFrame, length: int, percent: int) -> DataF
     tiles = tiles.groupBy("size", "x", "s").agg(F.min("key").alias("key")).select("key", "size")
     shared = stage(shared.join(tiles, "key"), "tiles")
     reach = shared.groupBy("uid").agg(F.sum("size").alias("reach"))
-    nodes = base.join(reach, "uid").select("uid", "n", "reach", items_of(length)("text").alias("i"))
-    nodes = stage(nodes.select("uid", "n", "reach", "i.*"), "nodes")
-
     order = F.struct("reach", F.negative("uid").alias("small")).alias("o")
-    lead = shared.join(nodes.select("uid", order), "uid").groupBy("key").agg(F.max("o").alias("o"))
-    best = shared.join(lead, "key").groupBy("uid").agg(F.max("o").alias("o"))
-    star = best.select(F.negative("o.small").alias("a"), F.col("uid").alias("b")).where("a <> b")
-    found = stage(_confirmed(star, nodes, percent), "links")
+    lead = shared.join(reach.select("uid", order), "uid").groupBy("key").agg(F.max("o").alias("o"))
+    best = shared.join(lead, "key").groupBy("uid").agg(F.negative(F.max("o")["small"]).alias("lead"))
+    leads = best.select(F.col("lead").alias("uid")).distinct().withColumn("leads", F.lit(True))
+    # Texts are shuffled at any size: the list of nodes grows with the corpus.
+    picked = best.join(leads, "uid", "left").hint("merge")
+    nodes = base.select("uid", "n", "text").join(picked, "uid").select("uid", "n", "lead", "leads", items_of(length)("text").alias("i"))
+    nodes = stage(nodes.select("uid", "n", "lead", "leads", "i.*"), "nodes")
+
+    star = nodes.where("uid <> lead").select("lead", "uid", "bits", "items").join(
+        nodes.where("leads").select(F.col("uid").alias("lead"), F.col("bits").alias("lead_bits"), F.col("items").alias("lead_items")), "lead"
+    )
+    star = star.where(linked(percent)("lead_bits", "lead_items", "bits", "items"))
+    found = stage(star.select(F.col("lead").alias("a"), F.col("uid").alias("b")), "links")
 
     # What is left are tiles with nodes of several components.
     rest = shared.join(components(found), F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("root", "uid").alias("root"))
