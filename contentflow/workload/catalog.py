@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contentflow.operators import analytics as A, catalog as K
+from contentflow.operators import analytics as A, catalog as K, text_index, vector_index
+from contentflow.session import shared_folder
 from contentflow.workload.analytics import _DOCS, _LISTS, _ranked
-from contentflow.workload.registry import query
+from contentflow.workload.registry import SQL, query
 
 
 @query("paper_details", "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_partkey = 77")
@@ -60,6 +61,25 @@ def title_match(t):
     return K.title_match(t.part, "p_partkey", "p_name", "Small RED widget")
 
 
+@query("search_indexed", SQL["search"])
+def search_indexed(t):
+    path = shared_folder(t.spark, "postings")
+    text_index.build(t.documents, "doc_id", "text", path)
+    return text_index.search(t.spark, path, t.documents, "doc_id", "The and ation une", 20, 50, ["doc_id", "source"])
+
+
+@query(
+    "bulk_page_indexed",
+    r"""WITH hits AS (SELECT doc_id FROM documents WHERE doc_id > 50 AND list_has_all(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ['the', 'of']))
+SELECT doc_id, CASE WHEN (SELECT count(*) FROM hits) > 40 THEN max(doc_id) OVER () END AS next_token
+FROM (SELECT * FROM hits ORDER BY doc_id LIMIT 40)""",
+)
+def bulk_page_indexed(t):
+    path = shared_folder(t.spark, "postings")
+    text_index.build(t.documents, "doc_id", "text", path)
+    return K.bulk_page(text_index.having_all(t.spark, path, "doc_id", "Of the", 50), "doc_id", None, 40)
+
+
 @query("autocomplete", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'red') ORDER BY p_name, p_partkey LIMIT 10")
 def autocomplete(t):
     return K.autocomplete(t.part, "p_partkey", "p_name", "red")
@@ -225,6 +245,25 @@ def recommend(t):
     return K.recommend(t.embeddings, "vec_id", 3, 20)
 
 
+def _vector_index(t):
+    path = shared_folder(t.spark, "vectors")
+    vector_index.build(t.embeddings, "vec_id", path)
+    return path
+
+
+@query("recommend_indexed", SQL["recommend"])
+def recommend_indexed(t):
+    return vector_index.recommend(_vector_index(t), t.embeddings, "vec_id", 3, 20)
+
+
+@query(
+    "recommend_from_indexed",
+    _nearest(_minus(_mean("vec_id IN (3, 14, 15)"), _mean("vec_id IN (9, 26)")), "vec_id NOT IN (3, 14, 15, 9, 26)", 20),
+)
+def recommend_from_indexed(t):
+    return vector_index.recommend_from(_vector_index(t), t.embeddings, "vec_id", [3, 14, 15], [9, 26], 20)
+
+
 @query(
     "recommend_from",
     _nearest(_minus(_mean("vec_id IN (3, 14, 15)"), _mean("vec_id IN (9, 26)")), "vec_id NOT IN (3, 14, 15, 9, 26)", 20),
