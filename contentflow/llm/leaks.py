@@ -7,6 +7,9 @@ matrices of a row per slot reach the driver.  Every passage of every document is
 the right singular vectors and compared with the items' passages by cosine, in blocks of at most
 ``ITEMS`` items, so what a task holds does not grow with the benchmark.
 
+Items shorter than a passage make another direction in the space than the passage around them; whole copies of these are
+also found by the number of their run of words, at any length.
+
 A candidate is looked at if the item and the place have ``REWORDED`` of the item's words in common in any
 order, without which they cannot have them in the same order.  It
 counts if the longest common subsequence of the item and the place has ``COPIED`` of the
@@ -57,18 +60,20 @@ def _halves(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _projected(number: np.ndarray, length: np.ndarray, place: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of the ``matrix`` rows of the words of each passage, with its first word and its text."""
+    """Sums of the ``matrix`` rows of the words of each passage, with its first word and its text; the last row of ``matrix`` is zero."""
     start, text, more = _halves(length)
+    part = np.zeros((len(start), matrix.shape[1]), np.float32)
     if not len(start):
-        return np.zeros((0, matrix.shape[1]), np.float32), start, text
-    part = np.empty((len(start), matrix.shape[1]), np.float32)
-    term = place[_slot(number)]
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(start, start[i] + BLOCK)))
-        end = start[j] if j < len(start) else len(number)
-        part[i:j] = np.add.reduceat(matrix[term[start[i] : end]], start[i:j] - start[i], axis=0)
-        i = j
+        return part, start, text
+    term = np.append(place[_slot(number)], -1)
+    spot = start[:, None] + np.arange(WIDTH // 2)
+    term = term[np.where(spot < np.cumsum(length)[text][:, None], spot, len(number))]
+    # Word by word over blocks that stay in the cache.
+    for i in range(0, len(start), 1024):
+        total = matrix[term[i : i + 1024, 0]]
+        for k in range(1, WIDTH // 2):
+            total += matrix[term[i : i + 1024, k]]
+        part[i : i + 1024] = total
     whole = part.copy()
     at = np.flatnonzero(more)
     whole[at] += part[at + 1]
@@ -110,7 +115,7 @@ def _product(place: np.ndarray, weight: np.ndarray, thin: np.ndarray):
         for b in tokens.sliced_batches(batches):
             w = tokens.words(b.column("text"), separator=SEPARATOR)
             length = np.diff(w.at)
-            rows, start, text = _projected(w.number, length, place, (weight[:, None] * thin).astype(np.float32))
+            rows, start, text = _projected(w.number, length, place, np.vstack([weight[:, None] * thin, np.zeros((1, thin.shape[1]))]).astype(np.float32))
             end = np.minimum(start + WIDTH, np.cumsum(length)[text]) if len(start) else start
             for r, a, z in zip(rows, start.tolist(), end.tolist(), strict=True):
                 term = place[_slot(w.number[a:z])]
@@ -188,7 +193,8 @@ def common_subsequence(item: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 class Items(NamedTuple):
     """Items of a block: ids, words, first word of the answer, passages' unit rows, the item of each passage,
-    all different words, and the different words of each item (as places in those) with their numbers and borders."""
+    all different words, the different words of each item (as places in those) with their numbers and borders, and by length
+    the numbers of the whole items shorter than a passage, sorted, with their items."""
 
     id: list
     words: list
@@ -199,6 +205,7 @@ class Items(NamedTuple):
     kind: np.ndarray
     times: np.ndarray
     at: np.ndarray
+    whole: dict
 
 
 def _answer_start(text: str, words: int) -> int:
@@ -221,7 +228,36 @@ def block_of(space: Space, rows: list[tuple[int, str]]) -> Items:
     vocabulary, kind = np.unique(w.number, return_inverse=True)
     each, times = np.unique(item * (len(vocabulary) + 1) + kind, return_counts=True)
     of_item, kind = np.divmod(each, len(vocabulary) + 1)
-    return Items([i for i, _ in rows], words, answer, _unit(passages), of, vocabulary, kind, times, np.searchsorted(of_item, np.arange(len(rows) + 1)))
+    at = np.searchsorted(of_item, np.arange(len(rows) + 1))
+    whole = {}
+    for n in sorted({len(x) for x in words if 0 < len(x) < WIDTH}):
+        which = np.array([i for i, x in enumerate(words) if len(x) == n])
+        number = np.array([tokens.runs(words[i], n, n)[0] for i in which], np.uint64)
+        whole[n] = (np.sort(number), which[np.argsort(number, kind="stable")])
+    return Items([i for i, _ in rows], words, answer, _unit(passages), of, vocabulary, kind, times, at, whole)
+
+
+def _whole(items: Items, number: np.ndarray, at: np.ndarray):
+    """Where texts hold an item shorter than a passage word for word: text, item, first word."""
+    if not items.whole or not len(number):
+        return
+    begin = np.unique([items.words[i][0] for _, which in items.whole.values() for i in which])
+    # Only words that an item begins with are looked at further.
+    start = np.flatnonzero(begin[np.minimum(np.searchsorted(begin, number), len(begin) - 1)] == number)
+    left = at[np.searchsorted(at, start, "right")] - start
+    for n, (wanted, which) in items.whole.items():
+        place = start[left >= n]
+        # The number that ``tokens.runs`` gives the run.
+        factor = tokens.random_numbers(n, n) | np.uint64(1)
+        run = np.zeros(len(place), np.uint64)
+        for k in range(n):
+            run += number[place + k] * factor[k]
+        run = tokens.mix(run)
+        low, high = (np.searchsorted(wanted, run, side) for side in ("left", "right"))
+        for k in np.flatnonzero(high > low).tolist():
+            text = int(np.searchsorted(at, place[k], "right")) - 1
+            for i in which[low[k] : high[k]].tolist():
+                yield text, i, int(place[k])
 
 
 def _places(items: Items, number: np.ndarray) -> np.ndarray:
@@ -243,6 +279,32 @@ def _common(items: Items, places: np.ndarray, size: int, item: np.ndarray, lo: n
     return np.add.reduceat(np.minimum(there, items.times[at]), border)
 
 
+def _may_hold(items: Items, places: np.ndarray, size: int, p: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which candidates (passage ``p`` of ``text``, ``item``, its window) share ``REWORDED`` of the item's words.
+
+    Windows of neighbouring passages are almost the same: up to three of them are counted as one window first, which has at
+    least the words of each, and only where that has enough are they counted by themselves.
+    """
+    need = REWORDED * np.array([len(x) for x in items.words])[item]
+    order = np.lexsort((p, item))
+    at, it, tx = p[order], item[order], text[order]
+    run = np.append(True, (it[1:] != it[:-1]) | (tx[1:] != tx[:-1]) | (at[1:] != at[:-1] + 1))
+    begin = np.flatnonzero(run)
+    in_run = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    first = np.flatnonzero(in_run % 3 == 0)
+    last = np.append(first[1:], len(order)) - 1
+    enough = np.zeros(len(p), bool)
+    wide = np.zeros(len(first), bool)
+    for i in range(0, len(first), BLOCK):
+        f, z = first[i : i + BLOCK], last[i : i + BLOCK]
+        wide[i : i + BLOCK] = _common(items, places, size, it[f], lo[order[f]], hi[order[z]]) >= need[order[f]]
+    left = order[np.repeat(wide, last - first + 1)]
+    for i in range(0, len(left), BLOCK):
+        x = left[i : i + BLOCK]
+        enough[x] = _common(items, places, size, item[x], lo[x], hi[x]) >= need[x]
+    return enough
+
+
 FOUND = "array<struct<item_id:bigint,first:int,end:int,cosine:double,overlap:double,answer:double>>"
 
 
@@ -258,6 +320,9 @@ def search(space: Space, items: Items):
         w = tokens.words(text, separator=SEPARATOR)
         found: list[dict] = [{} for _ in range(len(text))]
         rows, start, of = _projected(w.number, np.diff(w.at), space.place, space.matrix)
+        for d, i, at in _whole(items, w.number, w.at):
+            first = at - int(w.at[d])
+            found[d].setdefault(i, {"item_id": items.id[i], "first": first, "end": first + len(items.words[i]), "cosine": 1.0, "overlap": 1.0, "answer": 1.0})
         places = _places(items, w.number)
         size = np.array([len(x) for x in items.words])
         for a in range(0, len(rows), 2048):
@@ -268,10 +333,7 @@ def search(space: Space, items: Items):
             item = items.of[q]
             lo = np.maximum(w.at[of[a + p]], start[a + p] - size[item])
             hi = np.minimum(w.at[of[a + p] + 1], start[a + p] + WIDTH + size[item])
-            enough = np.zeros(len(p), bool)
-            for i in range(0, len(p), BLOCK):
-                part = slice(i, i + BLOCK)
-                enough[part] = _common(items, places, len(w.number), item[part], lo[part], hi[part]) >= REWORDED * size[item[part]]
+            enough = _may_hold(items, places, len(w.number), p, item, lo, hi, of[a + p])
             for p, q, lo, hi in zip(p[enough].tolist(), q[enough].tolist(), lo[enough].tolist(), hi[enough].tolist(), strict=True):
                 d, i = int(of[a + p]), int(items.of[q])
                 item = items.words[i]

@@ -330,6 +330,24 @@ def test_leaks(spark, docs, nothing):
     assert leaks.clean(docs, bench.limit(0)).count() == len(ROWS) and leaks.leaks(nothing, bench).count() == 0
 
 
+def test_whole_items_of_any_length_are_found(spark):
+    """Copies of items of 1 to 30 words in texts made of the benchmark's own words, at the ends and in the middle."""
+    r = random.Random(21)
+    vocabulary = prose(77, 300).split()
+    items = [(n * 10 + k, " ".join(r.choices(vocabulary, k=n))) for n in (1, 2, 4, 6, 9, 15, 23, 24, 30) for k in range(4)]
+    rows = []
+    for i, text in items:
+        around = [" ".join(r.choices(vocabulary, k=r.choice([0, 3, 60]))) for _ in range(2)]
+        rows.append((i, f"{around[0]} {text.upper()} {around[1]}".strip()))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = leaks.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(i, i) for i, _ in items} <= {(x["doc_id"], x["item_id"]) for x in found}
+    text = dict(rows)
+    for x in found:
+        words = text[x["doc_id"]].lower().split()[x["first"] : x["end"]]
+        assert x["overlap"] < 1 or len(words) >= len(dict(items)[x["item_id"]].split())
+
+
 def test_half_reworded_items_at_any_size(spark):
     r = random.Random(8)
     items = [(i, prose(3000 + i, 40) + ". " + prose(4000 + i, 8) + ".") for i in range(30)]
