@@ -56,6 +56,23 @@ def refresh_store(t):
     return store.select("urlId", "uuid", "title", "date", "author", "batch", *joined, F.array_join("references", "|").alias("refs"))
 
 
+_PENDING = f"""{s.POSTS}, {s.chunks(we.LIMIT)}, told AS (SELECT seq, uuid, CASE WHEN seq % 7 = 0 THEN 'N/A' ELSE date END AS date FROM posts
+), done AS (SELECT * FROM told WHERE date < '2024-09-01' AND seq % 3 <> 0 OR seq % 14 = 0
+), asked AS (SELECT uuid, seq FROM told WHERE (date = 'N/A' OR date > (SELECT max(date) FROM done WHERE date <> 'N/A')) AND uuid NOT IN (SELECT uuid FROM done))"""
+
+
+@query(
+    "open_requests",
+    f"""WITH RECURSIVE {_PENDING}
+SELECT uuid, chunk_idx, {s.quoted(we._REQUEST[0])} || chunk || {s.quoted(we._REQUEST[1])} AS request FROM asked JOIN chunks ON doc_id = seq""",
+)
+def open_requests(t):
+    """Posts past the mark, and undated ones that have no record yet."""
+    posts = fx.posts(t).withColumn("date", F.when(F.col("seq") % 7 == 0, F.lit("N/A")).otherwise(F.col("date")))
+    done = posts.where("date < '2024-09-01' AND seq % 3 <> 0 OR seq % 14 = 0").select(F.struct("uuid", "date").alias("Metadata"))
+    return blog.open_requests(posts, done, max_words=we.LIMIT)
+
+
 @query(
     "normalize_store",
     f"""WITH RECURSIVE {we._NESTED}

@@ -55,6 +55,14 @@ def rss_items(t):
     return feeds.rss_items(fx.feeds(t.pages))
 
 
+@query("read_rss", _ITEMS)
+def read_rss(t):
+    """The same feeds as files, one document in each."""
+    folder = shared_folder(t.spark, "feeds")
+    fx.feeds(t.pages).write.partitionBy("feed_id").text(folder)
+    return feeds.read_rss(t.spark, folder).select("title", "date", "category", "summary", "link")
+
+
 @query(
     "rss_union",
     f"SELECT link, title, CASE WHEN page_id % 2 = 1 THEN 'brief' END AS feed FROM "

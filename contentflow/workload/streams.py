@@ -62,3 +62,15 @@ def stream_apply_changes(t):
     log, checkpoint = shared_folder(t.spark, "changes"), shared_folder(t.spark, "changes-state")
     _feed_in(t, changes, "seq", lambda src: I.stream_apply_changes(src, log, checkpoint, "key"))
     return I.current_table(fx.change_target(t), t.spark, log, changes.schema, "key")
+
+
+@query("dedupe_stream", "SELECT DISTINCT user_id AS key FROM events")
+def dedupe_stream(t):
+    """One batch, in which the watermark has not moved yet: every key comes once."""
+    source, target, checkpoint = (shared_folder(t.spark, n) for n in ("repeats", "once", "once-state"))
+    events = t.events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    events.coalesce(1).write.parquet(source)
+    stream = I.dedupe_stream(t.spark.readStream.schema(events.schema).parquet(source), "key", "ts", "60 days")
+    out = stream.select("key").writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    out.start(target).awaitTermination()
+    return t.spark.read.parquet(target)
