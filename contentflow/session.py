@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Staged folders of each application.
 _made: dict[str, list[str]] = {}
 
@@ -60,11 +61,19 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, purpose: str) -> DataFrame:
+def stage(df: DataFrame, purpose: str, drop_shuffles: bool = False) -> DataFrame:
     """Write a result that several branches of a plan read to the shared folder, once.
 
     Reading it again is cheaper than computing it again, and losing an executor does not undo it.
+    ``drop_shuffles`` has Spark delete the shuffle files of this write when it has ended, so that the disk that a chain
+    of writes needs is that of its largest step and not the sum of all.
     """
-    folder = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = shared_folder(spark, purpose)
+    before = spark.conf.get(CLEANUP_CONF, "false")
+    spark.conf.set(CLEANUP_CONF, "true" if drop_shuffles else before)
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
+    return spark.read.schema(df.schema).parquet(folder)
