@@ -1,9 +1,8 @@
 """Keywords, summaries and entities.
 
-Tokens are grouped by (document, word) first; a document's tokens come out of one row, so that
-aggregation is complete before its shuffle.  The join with the document frequencies is on the word,
-where frequent words are heavy: it is followed by a shuffle on the document, which leaves AQE free to
-split such a word's partition.  The top-n filter is pruned in every task before that shuffle.
+Texts are dealt out by document and their words counted there, so that no word is shuffled before it is counted.  The counts
+are written once.  Words that many documents have come back as a small table, which needs no shuffle of the counts; only the
+other words, the smaller part of the counts, meet by word.  The top-n filter is pruned in every task before the last shuffle.
 """
 
 from __future__ import annotations
@@ -11,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from contentflow.functions.binding import let, scan
-from contentflow.functions.text import KEYWORD_STOP_WORDS, candidate_words, keep_keywords, squeeze
+from contentflow.functions.text import KEYWORD_STOP_WORDS, ONE_SPACE, candidate_words, keep_keywords, squeeze
+from contentflow.session import stage
 
 KEYWORDS = 10  # fixed value: keywords per post
 SUMMARY_WORDS = 5  # fixed value: words per summary
+FREQUENT = 1000  # one of so many documents has a frequent word, so their number grows with the length of texts only
 
 
 def keywords(
@@ -24,15 +25,16 @@ def keywords(
 
     Scores are rounded before ranking, ties go by word.  Text without candidates gives no row.
     """
-    kept = F.filter(candidate_words(F.col(text)), lambda w: ~w.isin(stop_words))
-    tf = df.select(key, F.explode(kept).alias("word")).groupBy(key, "word").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    spread = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    tf = df.select(key, text).repartition(key).select(key, F.explode(candidate_words(F.col(text))).alias("word"))
+    tf = stage(tf.where(~F.col("word").isin(stop_words)).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf")), "words", True)
     docs = df.agg(F.count(F.lit(1)).alias("docs")).scalar()
+    spread = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    frequent = stage(spread.where(F.col("df") * FREQUENT >= docs), "frequent", True)
+    # No hint: Spark chooses by the size of the written table.
+    told = tf.join(frequent, "word", "left")
+    rare = told.where("df IS NULL").withColumn("df", F.count(F.lit(1)).over(W.partitionBy("word")))
     idf = F.log((docs + 1) / (F.col("df") + 1)) + 1
-    # No hint: Spark chooses by measured size, and a vocabulary of any size can spill.
-    scored = tf.join(spread, "word").select(
+    scored = told.where("df IS NOT NULL").unionByName(rare).select(
         key, "word", F.round(F.col("tf") * idf, 6).alias("score")
     )
     best = W.partitionBy(key).orderBy(F.desc("score"), "word")

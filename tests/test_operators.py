@@ -475,3 +475,21 @@ def test_repeated_json_keys_and_fetches(spark):
     assert r["summary"] == ["b"] and r["tldr"] == ["t"]
     fetched = spark.createDataFrame([("u", "", 3), ("u", "<p>old</p>", 1), ("u", "<p>n</p>", 2), ("v", None, 1)], "url string, html string, at int")
     assert sorted(map(tuple, pages.newest_fetch(fetched, order="at").select("url", "html").collect())) == [("u", "<p>n</p>"), ("v", None)]
+
+
+def test_keywords_of_repeated_and_missing_keys(spark):
+    """Words are counted over all rows of a key; frequent and rare words are weighed alike."""
+    from math import log
+
+    n = 3 * analytics.FREQUENT
+    spread = spark.range(n).selectExpr("id", "concat('common w', id, CASE WHEN id < 2 THEN ' twice' ELSE '' END) AS text")
+    rows = spark.createDataFrame([(0, "common again"), (None, "lone pair"), (None, "pair")], "id long, text string")
+    df = spread.unionAll(rows)
+    got = analytics.keywords(df, "id", "text")
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in text.split("WindowGroupLimit")[-1], "a count is shuffled before its top n are taken"
+    idf = lambda d: log((n + 3 + 1) / (d + 1)) + 1
+    told = {(r.id, r.word): r.score for r in got.where("id < 2 OR id IS NULL").collect()}
+    want = {(0, "common"): 2 * idf(n), (0, "w0"): idf(1), (0, "twice"): idf(2), (1, "common"): idf(n), (1, "w1"): idf(1),
+            (1, "twice"): idf(2), (None, "lone"): idf(1), (None, "pair"): 2 * idf(1)}
+    assert told == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
