@@ -67,22 +67,21 @@ _TERM_WORD = r"[\p{L}\p{N}_]+"
 _TERM_PIECE = r"(?s)[\p{L}\p{N}_]+[^\p{L}\p{N}_]*"
 
 
-def _grams(text: Column, lengths: Column) -> Column:
-    """Every run of words of one of the ``lengths``: ``pos, n, word``, with what stands between its words as written."""
+def _grams(texts: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """Every run of words of one of the ``lengths`` in ``_text``: ``key, pos, n, word``, with what stands between its words as written.
 
-    def cut(x: Column) -> Column:
-        words, pieces = x["words"], x["pieces"]
-
-        def gram(i: Column, n: Column) -> Column:
-            before = F.array_join(F.slice(pieces, i + 1, n - 1), "")
-            whole = F.when(n == 1, F.get(words, i)).otherwise(squeeze(F.concat(before, F.get(words, i + n - 1))))
-            return F.struct(i.alias("pos"), n.alias("n"), whole.alias("word"))
-
-        fitting = lambda i: F.filter(lengths, lambda n: i + n <= F.size(words))
-        return F.flatten(F.transform(words, lambda _, i: F.transform(fitting(i), lambda n: gram(i, n))))
-
-    both = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (_TERM_WORD, _TERM_PIECE)]
-    return let(F.struct(both[0].alias("words"), both[1].alias("pieces")), cut)
+    The words beside a word come from the same array, shifted, so a run is put together in its own row.
+    """
+    # Runs of white space lie between words, so they are collapsed once for the whole text.
+    squeezed = texts.select(key, F.regexp_replace("_text", f"{ONE_SPACE}+", " ").alias("_text"))
+    cut = squeezed.select(key, *[F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias(c) for c, p in (("_w", _TERM_WORD), ("_p", _TERM_PIECE))])
+    longest = max(lengths)
+    shifted = lambda c, i: F.slice(c, F.lit(i + 1), F.size(c)) if i else F.col(c)
+    beside = [shifted("_w", n - 1).alias(f"w{n}") for n in lengths] + [shifted("_p", i).alias(f"p{i}") for i in range(longest - 1)]
+    named = cut.select(key, *beside)
+    rows = named.select(key, F.posexplode(F.arrays_zip(*named.columns[1:])).alias("pos", "_s"))
+    runs = [F.struct(F.lit(n).alias("n"), F.concat(*[F.col("_s")[f"p{i}"] for i in range(n - 1)], F.col("_s")[f"w{n}"]).alias("word")) for n in lengths]
+    return rows.select(key, "pos", F.explode(F.array(*runs)).alias("g")).select(key, "pos", "g.*").where("word IS NOT NULL")
 
 
 def _phrases(gazetteer: DataFrame) -> DataFrame:
@@ -94,20 +93,19 @@ def _phrases(gazetteer: DataFrame) -> DataFrame:
 
 
 def _longest_first(hits: Column) -> Column:
-    """Of overlapping hits the leftmost one, of those that begin together the longest; the others go."""
+    """Of overlapping hits (place first, then the negative length) the leftmost one, of those that begin together the longest; the others go."""
 
     def step(state: Column, h: Column) -> Column:
         free = h["pos"] >= state["end"]
         return F.struct(F.when(free, h["pos"] + h["n"]).otherwise(state["end"]).alias("end"), free.alias("kept"))
 
-    # Sorted by place, then the longest first.
-    ordered = F.array_sort(hits, lambda a, b: F.when(a["pos"] != b["pos"], a["pos"] - b["pos"]).otherwise(b["n"] - a["n"]))
     start = F.struct(F.lit(0).alias("end"), F.lit(False).alias("kept"))
 
     def chosen(xs: Column) -> Column:
         return let(scan(xs, start, step, lambda s: s["kept"], "boolean"), lambda keep: F.filter(xs, lambda _, i: F.get(keep, i)))
 
-    return let(ordered, chosen)
+    # Sorted by place, then the longest first.
+    return let(F.sort_array(hits), chosen)
 
 
 def _found_terms(df: DataFrame, gazetteer: DataFrame, key: str, text: str) -> DataFrame:
@@ -116,12 +114,12 @@ def _found_terms(df: DataFrame, gazetteer: DataFrame, key: str, text: str) -> Da
     Runs of words meet the gazetteer by the lengths that it has, in one join; only hits are grouped
     again, and those of a text came out of one row.
     """
-    terms = _phrases(gazetteer)
-    lengths = terms.agg(F.sort_array(F.collect_set("n"))).scalar()
-    texts = df.select(key, F.col(text).alias("_text"), lengths.alias("_lengths"))
-    grams = texts.select(key, F.explode(_grams(F.col("_text"), F.col("_lengths"))).alias("g")).select(key, "g.*")
+    terms = stage(_phrases(gazetteer), "terms")
+    # One short list: the numbers of words that terms have.
+    lengths = terms.agg(F.sort_array(F.collect_set("n"))).first()[0]
+    grams = _grams(df.select(key, F.col(text).alias("_text")), key, lengths or [1])
     hits = grams.join(terms.drop("n"), F.lower("word") == F.col("term"))
-    found = hits.groupBy(key).agg(F.collect_list(F.struct("pos", "n", "word", "entity_group")).alias("found"))
+    found = hits.groupBy(key).agg(F.collect_list(F.struct("pos", (-F.col("n")).alias("_less"), "n", "word", "entity_group")).alias("found"))
     return found.select(key, _longest_first(F.col("found")).alias("found"))
 
 

@@ -493,3 +493,13 @@ def test_keywords_of_repeated_and_missing_keys(spark):
     want = {(0, "common"): 2 * idf(n), (0, "w0"): idf(1), (0, "twice"): idf(2), (1, "common"): idf(n), (1, "w1"): idf(1),
             (1, "twice"): idf(2), (None, "lone"): idf(1), (None, "pair"): 2 * idf(1)}
     assert told == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+
+
+def test_terms_are_put_together_without_a_function_per_run(spark):
+    gaz = spark.createDataFrame([("big  apple", "LOC"), ("apple pie shop", "ORG"), ("pie", "MISC")], "term string, entity_group string")
+    df = spark.createDataFrame([(1, "Big\t\n Apple pie  shop, pie."), (2, "apple  pie\nshop"), (3, None)], "id long, text string")
+    got = analytics.tag_entities(df, gaz, "id", "text")
+    assert "flatten(transform" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [
+        (1, 0, "Big Apple", "LOC"), (1, 2, "pie", "MISC"), (1, 4, "pie", "MISC"), (2, 0, "apple pie shop", "ORG")]
+    assert analytics.tag_entities(df, gaz.limit(0), "id", "text").count() == 0
