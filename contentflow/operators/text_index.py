@@ -24,10 +24,11 @@ def terms_of(spark: SparkSession, query: str) -> list[str]:
 def build(table: DataFrame, key: str, text: str, path: str, blocks: int = BLOCKS) -> None:
     """Write ``postings`` (part, term, block, key, n), sorted by term and block, and ``bounds`` (term, block, most, docs) to ``path``."""
     dealt = with_bucket(table.select(key, F.col(text).alias("_text")).withColumn("_length", F.length("_text")), "_length", blocks, "block")
-    cut = dealt.select(key, "block", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0))).alias("term"))
-    # Complete before its shuffle: the terms of a document come out of one row.
+    # Texts are dealt out, not postings: all rows of a key and block come together, are counted, sorted and written there.
+    here = dealt.drop("_length").repartition("block", key)
+    cut = here.select(key, "block", F.explode(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0))).alias("term"))
     postings = cut.groupBy("term", "block", key).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
-    postings.repartition("part", "block").sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(f"{path}/postings")
+    postings.sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(f"{path}/postings")
     spark = table.sparkSession
     read = spark.read.parquet(f"{path}/postings")
     bounds = read.groupBy("part", "term", "block").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("docs"))
@@ -36,7 +37,8 @@ def build(table: DataFrame, key: str, text: str, path: str, blocks: int = BLOCKS
 
 def _of(spark: SparkSession, path: str, name: str, terms: list[str]) -> DataFrame:
     """The rows of some terms: their parts are pruned, their row groups found by the term."""
-    parts = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(PARTS))).distinct().collect()]
+    held = F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(PARTS)) for t in terms])
+    parts = spark.range(1).select(F.array_distinct(held).alias("p")).first()["p"]
     return spark.read.parquet(f"{path}/{name}").where(F.col("part").isin(parts) & F.col("term").isin(terms))
 
 

@@ -96,3 +96,14 @@ def test_documents_with_all_terms(spark, texts, query, token):
     df, path = texts
     scan = [r["id"] for r in catalog.bulk_page(df, "id", token, 1000, ["id"], "text", query).collect()]
     assert sorted(r["id"] for r in text_index.having_all(spark, path, "id", query, token).collect()) == sorted(scan)
+
+
+def test_index_of_repeated_keys_without_local_rows(spark, tmp_path, monkeypatch):
+    """Rows of a key in one block count together; a lookup starts no Python worker."""
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "red red"), (1, "red tea"), (2, "blue sea"), (None, "red")], "id long, text string")
+    text_index.build(df, "id", "text", path, blocks=1)
+    postings = spark.read.parquet(f"{path}/postings").where("term = 'red'").select("id", "n").collect()
+    assert sorted(map(tuple, postings), key=str) == [(1, 3), (None, 1)]
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    assert [r["id"] for r in text_index.having_all(spark, path, "id", "sea blue").collect()] == [2]
