@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from contentflow.functions import markup, text
 from contentflow.functions.binding import let
 from contentflow.functions.records import map_string_leaves, map_strings
+from contentflow.session import stage
 
 
 def fix_encoding(df: DataFrame) -> DataFrame:
@@ -143,8 +144,8 @@ def polish_columns(
 ) -> DataFrame:
     """Clean, normalise, drop stop words and, with a lexicon, lemmatise every text column.
 
-    All but the last step are one projection.  Body paragraphs are joined by a blank; tags stay a
-    list.
+    All but the last step are one projection, whose rows are written before the last one: its words and its texts are both
+    read from there.  Body paragraphs are joined by a blank; tags stay a list.
     """
 
     def chain(c: Column) -> Column:
@@ -164,4 +165,4 @@ def polish_columns(
     if lexicon is None:
         return done
     worded = [c for c in df.columns if c in columns and c != "author"]
-    return lemmatize(done, lexicon, key, worded)
+    return lemmatize(stage(done, "polished-columns", True), lexicon, key, worded)

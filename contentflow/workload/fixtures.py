@@ -8,7 +8,7 @@ from contentflow.functions import markup
 from contentflow.functions.text import split_words
 from contentflow.operators.pages import content_of
 from contentflow.schemas import RESULT_KEYS
-from contentflow.session import shared_folder
+from contentflow.session import shared_folder, stage
 from contentflow.workload.registry import Tables
 
 ARTICLE = markup.open_tag("article")
@@ -143,7 +143,8 @@ def feeds(pages: DataFrame) -> DataFrame:
 
 def lexicon(texts: DataFrame, column: str) -> DataFrame:
     """Words ending in s whose form without it occurs as well."""
-    words = texts.select(F.explode(F.array_distinct(split_words(F.col(column)))).alias("word")).distinct()
+    # Written once, as it is read twice.
+    words = stage(texts.select(F.explode(F.array_distinct(split_words(F.col(column)))).alias("word")).distinct(), "lexicon-words", True)
     plural = words.where(F.col("word").endswith("s")).select(
         "word", F.expr("substr(word, 1, length(word) - 1)").alias("lemma")
     )

@@ -503,3 +503,13 @@ def test_terms_are_put_together_without_a_function_per_run(spark):
     assert sorted(map(tuple, got.collect())) == [
         (1, 0, "Big Apple", "LOC"), (1, 2, "pie", "MISC"), (1, 4, "pie", "MISC"), (2, 0, "apple pie shop", "ORG")]
     assert analytics.tag_entities(df, gaz.limit(0), "id", "text").count() == 0
+
+
+def test_polished_texts_are_made_once(spark):
+    rows = spark.createDataFrame([(1, "The <b>Cats</b> &amp; dogs"), (2, None), (2, "dogs")], "id long, title string")
+    lexicon = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "word string, lemma string")
+    got = cleaning.polish_columns(rows, ["title"], lexicon, "id")
+    # Both the words and the texts come from what was written.
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.title) for r in got.where("id = 1 OR title IS NULL").collect()} <= {(1, "cat dog"), (2, None), (2, "")}
+    assert [r.title for r in got.where("id = 1").collect()] == ["cat dog"]
