@@ -13,7 +13,7 @@ from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
-from contentflow.functions.binding import let, scan
+from contentflow.functions.binding import let
 from contentflow.functions.text import NOT_PLAIN, squeeze, strip
 
 REPLACEMENT = chr(0xFFFD)
@@ -209,21 +209,45 @@ def open_tag(tag: str, css_class: str | None = None, exact_class: str | None = N
 VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
 
 
-def _depths(entries: Column) -> Column:
-    """The number of open elements behind each tag.
+#: Tags of one inner fold of ``_depths``; the text that a fold builds grows by copying.
+_RUN = 512
+
+
+def _depths(codes: Column) -> Column:
+    """The number of open elements behind each tag; ``codes`` are ``name``, ``/name`` and '' as ``outline`` makes them.
 
     A closing tag closes the nearest open element of its name with all that is open inside, or nothing.  The
-    state is the names of the open elements, innermost first.
+    state is the names of the open elements, innermost first, as one text with a "/" before each name and at the end.  A fold in two
+    levels: what a step finds is added to a text, and the copying grows with the number of runs.
     """
 
-    def step(stack: Column, e: Column) -> Column:
-        return (
-            F.when(e["change"] == 1, F.concat(F.array(e["name"]), stack))
-            .when(e["change"] == -1, F.slice(stack, (F.array_position(stack, e["name"]) + 1).cast("int"), F.size(stack)))
+    def step(acc: Column, e: Column) -> Column:
+        stack = acc["stack"]
+        # The "/" behind the name tells names apart that begin alike.
+        at = F.position(F.concat(e, F.lit("/")), stack)
+        return F.struct(
+            F.when(e == "", stack)
+            .when(~e.startswith("/"), F.concat(F.lit("/"), e, stack))
+            .when(stack.startswith(F.concat(e, F.lit("/"))), F.substr(stack, F.length(e) + 1))
+            .when(at > 0, F.substr(stack, at + F.length(e)))
             .otherwise(stack)
+            .alias("stack"),
+            # What was open before this tag: the state behind a tag is told by the next step.
+            F.concat(acc["outs"], _names_in(stack), F.lit(",")).alias("outs"),
         )
 
-    return scan(entries, F.array().cast("array<string>"), step, F.size, "int")
+    def run(acc: Column, k: Column) -> Column:
+        return F.aggregate(F.slice(codes, k * _RUN + 1, F.lit(_RUN)), acc, step)
+
+    start = F.struct(F.lit("/").alias("stack"), F.lit("").alias("outs"))
+    runs = F.sequence(F.lit(0), F.floor((F.size(codes) - 1) / _RUN).cast("int"))
+    folded = let(F.aggregate(runs, start, run), lambda d: F.concat(d["outs"], _names_in(d["stack"])))
+    told = F.split(folded, ",").cast("array<int>")
+    return F.when(F.size(codes) > 0, let(told, lambda d: F.slice(d, F.lit(2), F.size(d)))).otherwise(F.array().cast("array<int>"))
+
+
+def _names_in(stack: Column) -> Column:
+    return (F.length(stack) - F.length(F.replace(stack, F.lit("/"), F.lit(""))) - 1).cast("string")
 
 
 def outline(html: Column) -> Column:
@@ -233,70 +257,71 @@ def outline(html: Column) -> Column:
     to the next tag; ``depth`` counts the elements open behind the tag.  One pass over the markup, after which every
     element is a slice (see ``elements``).
     """
-    marked = F.regexp_replace(F.translate(mark_invisible(html), OPEN + CLOSE, ""), f"({TAG})", f"{OPEN}$1{CLOSE}")
-    # What comes before the first tag belongs to no element.
-    pieces = let(F.split(marked, OPEN), lambda x: F.slice(x, F.lit(2), F.size(x)))
-
-    def entry(x: Column) -> Column:
-        tag = F.get(x, F.lit(0))
-        return let(
-            F.lower(F.regexp_extract(tag, r"^</?([A-Za-z][^\s/>]*)", 1)),
-            lambda name: F.struct(
-                name.alias("name"),
-                F.when(tag.startswith("</"), -1)
-                .when((name == "") | tag.endswith("/>") | name.isin(VOID_TAGS), 0)
-                .otherwise(1)
-                .alias("change"),
-                tag.alias("tag"),
-                F.get(x, F.lit(1)).alias("text"),
-            ),
+    visible = mark_invisible(html)
+    plain = F.when(html.contains(OPEN) | html.contains(CLOSE), F.translate(visible, OPEN + CLOSE, "")).otherwise(visible)
+    marked = F.regexp_replace(plain, f"({TAG})", f"{OPEN}$1{CLOSE}")
+    # Each field is one search over the whole markup. What comes before the first tag belongs to no element.
+    found = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    neither = rf"<[!?]|<(?:{'|'.join(VOID_TAGS)})[\s/>]|<(?!/)[^{CLOSE}]*/>{CLOSE}"
+
+    def fields(m: Column) -> Column:
+        low = F.lower(m)
+        return F.struct(
+            found(low, rf"{OPEN}(?:</?([^\s/>!?][^\s/>]*))?").alias("name"),
+            found(low, rf"{OPEN}(?:{neither}|<(/?[^\s/>]*))").alias("code"),
+            found(m, f"{OPEN}([^{CLOSE}]*)").alias("tag"),
+            found(m, f"{CLOSE}([^{OPEN}]*)").alias("text"),
         )
 
-    def deep(entries: Column) -> Column:
-        return let(
-            _depths(entries),
-            lambda d: F.transform(
-                entries,
-                lambda e, i: F.struct(e["name"].alias("name"), e["change"].alias("change"), e["tag"].alias("tag"),
-                                      e["text"].alias("text"), F.get(d, i).alias("depth")),
-            ),
-        )
+    def entries(f: Column) -> Column:
+        change = F.transform(f["code"], lambda e: F.when(e == "", 0).when(e.startswith("/"), -1).otherwise(1))
+        return F.arrays_zip(f["name"], change.alias("change"), f["tag"], f["text"], _depths(f["code"]).alias("depth"))
 
-    return let(F.transform(pieces, lambda p: let(F.split(p, CLOSE), entry)), deep)
+    return let(let(marked, fields), entries)
 
 
 def has_class(tag: Column, token: str) -> Column:
-    return F.concat(F.lit(" "), F.regexp_replace(raw_attr(tag, "class"), r"\s+", " "), F.lit(" ")).contains(f" {token} ")
+    # Most tags do not hold the token anywhere; only the others are walked.
+    classes = F.concat(F.lit(" "), F.regexp_replace(raw_attr(tag, "class"), r"\s+", " "), F.lit(" "))
+    return tag.contains(token) & classes.contains(f" {token} ")
 
 
 def _starts(o: Column, name: str, css_class: str | None) -> Column:
-    """Positions of the opening tags of the matching elements."""
+    """Positions of the opening tags of the matching elements; NULL in place of every other tag."""
 
     def here(e: Column, i: Column) -> Column:
         of_kind = (e["change"] == 1) & (e["name"] == name)
         return F.when(of_kind & has_class(e["tag"], css_class) if css_class else of_kind, i)
 
-    return F.array_compact(F.transform(o, here))
+    return F.transform(o, here)
+
+
+#: Tags behind an opening one that are searched first for the end of its element.
+_NEAR = 64
 
 
 def _element(o: Column, i: Column) -> Column:
     """The entries of the element that opens at ``i``; unclosed ones end with the element around them."""
-    depth = F.get(o, i)["depth"]
-    # Most elements hold no other one: then the next tag closes them.
-    behind = F.when(F.get(o, i + 1)["depth"] < depth, i + 1).otherwise(
-        F.array_min(F.filter(F.sequence(i + 1, F.greatest(F.size(o) - 1, i + 1)), lambda j: F.get(o, j)["depth"] < depth))
-    )
-    return F.slice(o, i + 1, F.coalesce(behind, F.size(o)) - i)
+    depth, last = F.get(o, i)["depth"], F.size(o) - 1
+
+    def behind(upto: Column) -> Column:
+        """The first tag up to a place that leaves the element."""
+        return F.array_min(F.filter(F.sequence(i + 1, F.greatest(upto, i + 1)), lambda j: F.get(o, j)["depth"] < depth))
+
+    # Most elements hold no other one, then the next tag closes them; most others are short.
+    next_ = F.when(F.get(o, i + 1)["depth"] < depth, i + 1)
+    end = F.coalesce(next_, behind(F.least(last, i + _NEAR)), behind(last), F.size(o))
+    return F.transform(F.sequence(i, F.greatest(end - 1, i)), lambda j: F.get(o, j))
 
 
 def elements(o: Column, name: str, css_class: str | None = None) -> Column:
     """The matching elements of an outline, nested ones as well: of each its own tag and all tags inside."""
-    return F.transform(_starts(o, name, css_class), lambda i: _element(o, i))
+    return F.transform(F.array_compact(_starts(o, name, css_class)), lambda i: _element(o, i))
 
 
 def first_element(o: Column, name: str, css_class: str | None = None) -> Column:
     """The first matching element of an outline; NULL without one."""
-    return let(F.get(_starts(o, name, css_class), F.lit(0)), lambda i: F.when(i.isNotNull(), _element(o, i)))
+    return let(F.array_min(_starts(o, name, css_class)), lambda i: F.when(i.isNotNull(), _element(o, i)))
 
 
 def marked_text(element: Column) -> Column:

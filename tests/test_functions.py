@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from contentflow.functions import dates, markup, records, text
+from contentflow.functions.binding import let
 from contentflow.operators import pages
 
 
@@ -308,3 +309,23 @@ def test_nested_parts_of_cards_and_tag_boxes(spark):
     r = pages.article_cards(spark.createDataFrame([(card,)], "html string")).first()
     assert (r.urlId, r.author, r.title, r.excerpt) == ("/p/1", "ByJaneDoe", "T", "OneTwo")
     assert pages.page_tags(spark.createDataFrame([(box + '<a class="blog-item-tag">C</a>',)], "html string")).first().tags == ["A", "B!"]
+
+
+def test_outline_of_names_that_begin_alike(spark):
+    """A closing tag meets its own name only, and void and closed tags change nothing; the open names are no list that every tag copies."""
+    html = "t<a>1<ab>2</A>3<b/>4<BR>5</br>6<!x>7<a/ >8</ab >9<x-y></x></x-y>"
+    df = spark.createDataFrame([(html,), ("no tags",), (None,)], "html string").select(markup.outline(F.col("html")).alias("o"))
+    want = [("a", 1, "<a>", "1", 1), ("ab", 1, "<ab>", "2", 2), ("a", -1, "</A>", "3", 0), ("b", 0, "<b/>", "4", 0), ("br", 0, "<BR>", "5", 0), ("br", -1, "</br>", "6", 0),
+            ("", 0, "<!x>", "7", 0), ("a", 1, "<a/ >", "8", 1), ("ab", -1, "</ab >", "9", 1), ("x-y", 1, "<x-y>", "", 2), ("x", -1, "</x>", "", 2), ("x-y", -1, "</x-y>", "", 1)]
+    got = [r.o for r in df.collect()]
+    assert [tuple(e) for e in got[0]] == want and got[1:] == [[], None]
+    assert "array_position" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_elements_on_long_pages(spark):
+    """Elements of more tags than are searched first, and short ones behind them."""
+    long = "<p>" + "<i>x</i>" * 100 + "</p>"
+    df = spark.createDataFrame([((long + "<p>a<b>c</b></p>") * 30 + "<p>" + "<i>y</i>" * 70,)], "html string")
+    cut = let(markup.outline(F.col("html")), lambda o: markup.elements(o, "p"))
+    sizes = df.select(F.transform(cut, F.size).alias("n")).first().n
+    assert sizes == [201, 3] * 30 + [141]
