@@ -6,7 +6,7 @@ responses handed to and from the extraction model, and where several branches re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from contentflow.functions.records import map_string_leaves
 from contentflow.functions.text import decode_unicode, drop_quotes, unescape_slashes
@@ -54,12 +54,16 @@ def nested_records(posts: DataFrame, responses: DataFrame, key: str = "uuid", ke
 def normalize_store(records: DataFrame, seq: str) -> DataFrame:
     """Nested records with escapes decoded and quotes dropped, newest first (``rank``).
 
-    Records without a date are left out; a date that cannot be read sorts last.
+    Records without a date are left out; a date that cannot be read sorts last.  The order needs the date and ``seq`` only,
+    so the date is decoded as a column of its own: what counts and cuts the order reads nothing else.
     """
-    decoded = map_string_leaves(
-        records, lambda c: decode_unicode(unescape_slashes(c, only_urls=True)), skip=(seq,)
-    )
+
+    def decoded(c: Column) -> Column:
+        # Every escape begins with a backslash; most strings have none.
+        return F.when(c.contains("\\"), decode_unicode(unescape_slashes(c, only_urls=True))).otherwise(c)
+
+    dated = has_metadata_date(records).withColumn("_date", decoded(F.col("Metadata.date")))
+    plain = map_string_leaves(dated, decoded, skip=(seq, "_date"))
     body = drop_quotes(F.col("Content.body"))
-    quoted = decoded.withColumn("Content", F.col("Content").withField("body", body))
-    dated = has_metadata_date(quoted).withColumn("_date", F.col("Metadata.date"))
-    return newest_first(dated, "_date", seq).drop("_date")
+    quoted = plain.withColumn("Content", F.col("Content").withField("body", body))
+    return newest_first(quoted, "_date", seq).drop("_date")

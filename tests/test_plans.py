@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from contentflow.plans import blog
 from contentflow.workload import QUERIES
 
 NO_PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
@@ -42,3 +43,15 @@ def test_columns_are_pruned(spark, testdata):
     text = plan(entry.queries()["trending"](spark, testdata))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
     assert schemas and all(set(x.split(":")[0] for x in s.split(",")) <= {"l_partkey", "l_shipdate"} for s in schemas)
+
+
+def test_normalize_store_decodes_each_record_once(spark, tmp_path):
+    """Escapes and quotes go, undated records too; only the date is decoded for the order, and the files' other columns are read once."""
+    rows = [(0, ("2024-01-0\\u0032", "\\u00e9 \\/"), (['"a"', None, "\\u0062"],)), (1, (None, "x"), (["y"],)), (2, ("2024-03-01", None), (None,)), (3, ("soon", "https:\\/\\/h\\/"), ([],))]
+    schema = "seq long, Metadata struct<date:string,title:string>, Content struct<body:array<string>>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/records")
+    df = blog.normalize_store(spark.read.parquet(f"{tmp_path}/records"), "seq")
+    got = [(r["rank"], r.seq, r.Metadata.date, r.Metadata.title, r.Content.body) for r in df.orderBy("rank").collect()]
+    assert got == [(1, 2, "2024-03-01", None, None), (2, 0, "2024-01-02", "é \\/", ["a", None, "b"]), (3, 3, "soon", "https://h/", [])]
+    scans = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in x]
+    assert sum("title" in x.split("ReadSchema")[1] for x in scans) == 1 < len(scans)
