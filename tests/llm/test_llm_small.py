@@ -499,3 +499,25 @@ def test_chains_take_the_best_order():
 def test_held_out_rule_is_crc32(spark):
     got = spark.range(50).select("id", (F.crc32(F.col("id").cast("string").cast("binary")) % 5).alias("k")).collect()
     assert all(r["k"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
+
+
+def test_reworded_passages_whose_seeds_are_all_frequent(spark):
+    """Pieces of the passage come first, apart and out of order, in more rows than FEW; only the last two rows have the whole of it."""
+    shared, n = prose(801, 60).split(), 2 * passages.FEW
+    pieces = [" ".join(shared[i : i + 12]) for i in range(0, 49, 3)]
+    rows = []
+    for i in range(n):
+        order = random.Random(i).sample(pieces, len(pieces))
+        rows.append((i, " ".join(f"{p} {' '.join(f'u{i}x{k}x{j}' for j in range(15))}" for k, p in enumerate(order))))
+    reworded = [f"new{i}" if i in (20, 40) else w for i, w in enumerate(shared)]
+    rows += [(n, prose(802, 30) + " " + " ".join(shared) + " " + prose(803, 30)), (n + 1, prose(804, 30) + " " + " ".join(reworded) + " " + prose(805, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = passages.shared_passages(docs, every_pair=True).collect()
+    assert [(r["other_id"], r["start"], r["end"], r["n_same"]) for r in got if r["doc_id"] == n + 1] == [(n, 30, 90, 58)]
+
+
+def test_every_pair_finds_what_the_limited_search_finds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    told = lambda found: {(r["doc_id"], i) for r in found.collect() for i in range(r["start"], r["end"])}
+    some = told(passages.shared_passages(docs))
+    assert some and some <= told(passages.shared_passages(docs, every_pair=True))
