@@ -521,3 +521,84 @@ def test_every_pair_finds_what_the_limited_search_finds(spark):
     told = lambda found: {(r["doc_id"], i) for r in found.collect() for i in range(r["start"], r["end"])}
     some = told(passages.shared_passages(docs))
     assert some and some <= told(passages.shared_passages(docs, every_pair=True))
+
+
+def told_words(found):
+    return {(r["doc_id"], i) for r in found.collect() for i in range(r["start"], r["end"])}
+
+
+def test_the_query_finds_reworded_passages_whose_seeds_are_all_frequent(spark):
+    """As above, for several pairs of rows: the seeds of each are frequent, their first places have other surroundings, no ``LONGER`` words agree."""
+    n, rows, want = 2 * passages.FEW, [], []
+    for k in range(3):
+        shared = prose(811 + k, 60).split()
+        pieces = [" ".join(shared[i : i + 12]) for i in range(0, 49, 3)]
+        for i in range(n):
+            order = random.Random(100 * k + i).sample(pieces, len(pieces))
+            rows.append((len(rows), " ".join(f"{p} {' '.join(f'u{k}x{i}x{q}x{j}' for j in range(15))}" for q, p in enumerate(order))))
+        reworded = [f"new{k}x{i}" if i in (20, 40) else w for i, w in enumerate(shared)]
+        first = len(rows)
+        rows.append((first, f"{prose(820 + k, 30)} {' '.join(shared)} {prose(830 + k, 30)}"))
+        rows.append((first + 1, f"{prose(840 + k, 30)} {' '.join(reworded)} {prose(850 + k, 30)}"))
+        want.append((first + 1, first, 30, 90, 58))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"], r["other_id"], r["start"], r["end"], r["n_same"]) for r in passages.shared_passages(docs).collect())
+    assert got == want
+
+
+def test_the_query_tells_every_word_that_every_pair_tells(spark):
+    """Among others a stretch of few seeds that sticks out of what is told of the first row."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").coalesce(1).collect()]
+    line, junk = prose(861, 12), prose(862, 42) + " again" * 35
+    own = lambda i, side: " ".join(f"own{i}x{side}x{j}" for j in range(25))
+    rows += [(1000 + i, f"{own(1000 + i, 0)} {line} {own(1000 + i, 1)}") for i in range(40)]
+    rows += [(2000 + i, f"{own(2000 + i, 0)} {' '.join(junk.split()[: 42 + i % 5 * 8])} {own(2000 + i, 1)}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    every = told_words(passages.shared_passages(docs, every_pair=True))
+    assert {(2009, i) for i in range(25, 99)} <= every
+    assert every <= told_words(passages.shared_passages(docs))
+
+
+def plain_meetings(seed, uid, left, right, around):
+    """All pairs of places, one by one, by the rule that ``meetings`` states; those that only tell the same run as an earlier place are marked."""
+    ahead, behind, deep, out = around[:, : passages.SIDE], around[:, passages.SIDE :], passages.LEAST - passages.K, {}
+    for j in range(len(seed)):
+        for i in range(len(seed)):
+            if seed[i] != seed[j] or uid[i] >= uid[j]:
+                continue
+            agreed, again = [], []
+            for side in (behind, ahead):
+                t = 0
+                while t < passages.SIDE and side[i, t] and side[i, t] == side[j, t]:
+                    t += 1
+                agreed.append(t)
+                x, y = ([tuple(s[t + k : t + k + passages.SYNC]) for k in range(passages.REACH + 1)] for s in (side[i], side[j]))
+                again.append([t + k + passages.SYNC for k, w in enumerate(y) if t < deep and len(w) == passages.SYNC and all(w) and w in x])
+            run = sum(agreed) + passages.K >= passages.LEAST
+            beyond = left[j] < 0 or any(t > told for t, told in zip(agreed, (left[j], right[j]), strict=True) if told <= deep)
+            near = [left[j] < 0 or beyond or any(u + passages.REACH > told for u in a) for a, told in zip(again, (left[j], right[j]), strict=True)]
+            if run and beyond or any(a and ok for a, ok in zip(again, near, strict=True)):
+                out[i, j] = run and not any(a and ok for a, ok in zip(again, near, strict=True))
+    return out
+
+
+def test_meetings_against_all_pairs():
+    """Texts of few different words, and some with long runs, so that nodes fork everywhere."""
+    r = np.random.default_rng(7)
+    side = passages.SIDE
+    for trial in range(6):
+        n = 60
+        base = r.integers(1, 40, 2 * side)
+        around = np.where(r.random((n, 2 * side)) < (0.03, 0.1, 0.3)[trial % 3], r.integers(1, 40, (n, 2 * side)), base).astype(np.uint32)
+        for i in range(0, n, 4):
+            around[i, r.integers(0, side) : side] = 0
+            around[i, side + r.integers(0, side) :] = 0
+        seed, uid = np.sort(r.integers(0, 3, n)).astype(np.uint64), r.integers(0, 50, n)
+        left, right = (r.choice([3, 10, 30, passages.ALL], n) for _ in range(2))
+        untold = r.random(n) < 0.4
+        left, right = np.where(untold, -1, left), np.where(untold, -1, right)
+        want = plain_meetings(seed, uid, left, right, around)
+        got = set(zip(*(x.tolist() for x in passages.meetings(seed, uid, left, right, around)), strict=True))
+        assert got <= set(want)
+        assert {p for p, only_run in want.items() if not only_run} <= got
+        assert {j for _, j in want} == {j for _, j in got}
